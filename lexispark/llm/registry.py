@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import neardup, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": quality.op2_quality_rules,
+        "op5_minhash_dedup": neardup.op5_minhash_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_quality_rules": quality.oracle(),
+        "op5_minhash_dedup": neardup.oracle(),
     }
