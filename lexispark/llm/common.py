@@ -53,3 +53,17 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
                 yield from fn(b)
 
     return df.mapInArrow(run, schema)
+
+
+def filter_batches(docs: DataFrame, keep: Callable[[object], object]) -> DataFrame:
+    """Rows of docs, all columns as they are, for which keep(chunk of texts) is true. No shuffle."""
+    from . import kernel
+
+    d = docs.withColumn("text", F.col("text").cast("string"))
+    at = d.columns.index("text")
+
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for c in kernel.chunks(b.column(at)):
+            yield b.slice(c.first, c.n).filter(pa.array(keep(c)))
+
+    return map_batches(d, run, d.schema)

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, quality
+from . import decontam, neardup, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": quality.op2_quality_rules,
+        "op3_decontaminate": decontam.op3_decontaminate,
         "op5_minhash_dedup": neardup.op5_minhash_dedup,
     }
 
@@ -19,5 +20,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_quality_rules": quality.oracle(),
+        "op3_decontaminate": decontam.oracle(),
         "op5_minhash_dedup": neardup.oracle(),
     }
