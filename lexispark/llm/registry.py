@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, neardup, quality
+from . import decontam, mixing, neardup, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": quality.op2_quality_rules,
         "op3_decontaminate": decontam.op3_decontaminate,
         "op5_minhash_dedup": neardup.op5_minhash_dedup,
+        "op6_minimax_shards": sharding.op6_minimax_shards,
+        "op7_mix_sources": mixing.op7_mix_sources,
     }
 
 
@@ -22,4 +24,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_quality_rules": quality.oracle(),
         "op3_decontaminate": decontam.oracle(),
         "op5_minhash_dedup": neardup.oracle(),
+        "op7_mix_sources": mixing.oracle(),
     }
