@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,6 +45,7 @@ def forget(df: DataFrame) -> None:
 
 def doc_texts(docs: DataFrame) -> DataFrame:
     """doc_id and text alone: other columns, whatever their names, can't clash."""
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
@@ -52,6 +55,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
             if b.num_rows:
                 yield from fn(b)
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

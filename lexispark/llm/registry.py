@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, neardup, quality, repeats, sharding
+from . import decontam, mixing, neardup, quality, repeats, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_minimax_shards": sharding.op6_minimax_shards,
         "op7_mix_sources": mixing.op7_mix_sources,
         "op9_suffix_dedup": repeats.op9_suffix_dedup,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
