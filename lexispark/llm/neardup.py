@@ -35,6 +35,10 @@ from .common import doc_texts, forget, map_batches, table, written
 from .graph import components
 
 
+#: At most so many ids of documents in candidate pairs are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1 << 20
+
+
 @dataclass(frozen=True)
 class MinHashParams:
     percent: int = 80
@@ -155,10 +159,15 @@ def plausible(pairs: DataFrame, sigs: DataFrame, p: MinHashParams) -> DataFrame:
     return map_batches(both, run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, p: MinHashParams) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, p: MinHashParams, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """Pairs whose full sets are similar enough; each document's text is moved only if some pair needs it."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = written(doc_texts(docs).join(ids, "doc_id"), "texts")
+    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+    d = doc_texts(docs)
+    if ids.count() <= broadcast_ids:  # the others' texts aren't shuffled
+        d = d.join(F.broadcast(ids), "doc_id", "left_semi")
+    else:
+        d = d.join(ids, "doc_id", "left_semi")
+    texts = written(d, "texts")
     left, right = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
 
@@ -180,7 +189,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, p: MinHashParams) -> DataFrame:
                 keep.append(i)
         yield b.select([0, 1]).take(pa.array(keep, pa.int64()))
 
-    return written(map_batches(both, run, "a long, b long").distinct(), "links")
+    links = written(map_batches(both, run, "a long, b long").distinct(), "links")
+    forget(texts)
+    return links
 
 
 def near_duplicates(docs: DataFrame, p: MinHashParams = MinHashParams()) -> DataFrame:
