@@ -82,8 +82,8 @@ def _targets(cells: DataFrame, dim: str, p: MixParams) -> DataFrame:
         marginal = marginal.join(given, dim, "left").select(dim, F.coalesce("raw", F.lit(0.0)).alias("raw"))
     else:
         marginal = marginal.select(dim, F.pow("t", F.lit(p.temper)).alias("raw"))
-    total = marginal.agg(F.sum("raw").alias("all"))
-    return marginal.join(F.broadcast(total)).select(dim, F.coalesce(F.try_divide("raw", "all"), F.lit(0.0)).alias("target"))  # one row
+    total = marginal.agg(F.sum("raw")).first()[0] or 1.0
+    return marginal.select(dim, (F.col("raw") / F.lit(total)).alias("target"))
 
 
 def rake_local(cells: DataFrame, p: MixParams) -> DataFrame:
@@ -105,8 +105,8 @@ def rake_local(cells: DataFrame, p: MixParams) -> DataFrame:
 
 def rake_distributed(cells: DataFrame, p: MixParams) -> DataFrame:
     targets = {dim: written(_targets(cells, dim, p), "targets") for dim in DIMS}
-    total = cells.agg(F.greatest(F.sum("tokens"), F.lit(1)).alias("all"))
-    w = cells.join(F.broadcast(total)).select(*DIMS, (F.col("tokens") / F.col("all")).alias("weight"))  # one row
+    total = max(cells.agg(F.sum("tokens")).first()[0] or 1, 1)
+    w = cells.select(*DIMS, (F.col("tokens") / F.lit(float(total))).alias("weight"))
     for _ in range(p.sweeps):
         for dim in DIMS:
             now = w.groupBy(dim).agg(F.sum("weight").alias("now")).join(targets[dim], dim, "left")
@@ -121,9 +121,9 @@ def calibrated(tokens: DataFrame, p: MixParams = MixParams(), local_cells: int =
     cells = written(tokens.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     weights = (rake_local if cells.count() <= local_cells else rake_distributed)(cells, p)
     both = written(cells.join(weights, list(DIMS)), "raked")
-    most = both.agg(F.max(F.try_divide("weight", "tokens")).alias("most"))
-    ratio = F.try_divide(F.try_divide("weight", "tokens"), F.col("most"))
-    return both.join(F.broadcast(most)).select(*DIMS, "tokens", "weight", F.when(F.col("tokens") == 0, 1.0).otherwise(F.round(F.coalesce(ratio, F.lit(1.0)), 9)).alias("p"))  # one row
+    most = both.agg(F.max(F.try_divide("weight", "tokens"))).first()[0] or 1.0
+    ratio = F.try_divide("weight", "tokens") / F.lit(most)
+    return both.select(*DIMS, "tokens", "weight", F.when(F.col("tokens") == 0, 1.0).otherwise(F.round(F.coalesce(ratio, F.lit(1.0)), 9)).alias("p"))
 
 
 def draw(doc_id, seed: str) -> F.Column:
