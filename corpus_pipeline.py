@@ -1,10 +1,16 @@
-"""Corpus pipeline: documents through cleaning to shards."""
+"""Corpus pipeline: documents through cleaning, dedup, decontamination and mixing to shards.
+
+Each stage takes all rows that the one before kept and returns the columns of
+documents; the last returns one row per document with its shard and slot.
+Decisions take effect: rejected, copied, contaminated and unsampled documents
+are gone, and lines that fail the quality rules are cut from the texts.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispark.llm import quality
+from lexispark.llm import common, decontam, mixing, neardup, quality, sharding
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,13 +18,33 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_quality(docs)
 
 
-STAGES = [("quality rules", clean)]
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup: the least doc_id of each group of near copies stays."""
+    return neardup.keep_distinct(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents with a benchmark window go."""
+    return decontam.keep_uncontaminated(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing: documents are sampled to raked source, language and topic weights."""
+    return mixing.keep_mixed(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sharding: contiguous minimax partition into shards."""
+    return sharding.shard_documents(docs)
+
+
+STAGES = [("quality rules", clean), ("near-dedup", dedup), ("decontamination", decontaminate), ("mixing", mix), ("sharding", shard)]
+
+#: Minimax cuts need a binary search over greedy walks; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lexispark.llm import common
-
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = common.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
