@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, license_scan, mixing, neardup, quality, repeats, sharding, toxicity
+from . import chat, decontam, license_scan, mixing, neardup, passages, quality, repeats, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_minhash_dedup": neardup.op5_minhash_dedup,
         "op6_minimax_shards": sharding.op6_minimax_shards,
         "op7_mix_sources": mixing.op7_mix_sources,
+        "op8_passage_chains": passages.op8_passage_chains,
         "op9_suffix_dedup": repeats.op9_suffix_dedup,
         "op10_toxicity": toxicity.op10_toxicity,
     }
