@@ -97,7 +97,7 @@ def rake_local(cells: DataFrame, p: MixParams) -> DataFrame:
         fits.append((at, t.reindex(names).fillna(0.0).to_numpy()))
     for _ in range(p.sweeps):
         for at, target in fits:
-            now = np.bincount(at, w, len(target))
+            now = np.bincount(at, w, len(target)).astype(float)
             w = w * np.divide(target, now, out=np.zeros_like(now), where=now > 0)[at]
     c["weight"] = w
     return cells.sparkSession.createDataFrame(c[[*DIMS, "weight"]], "source string, lang string, topic string, weight double")
