@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLANK = r"[\x09-\x0D\x20]"
@@ -29,10 +29,19 @@ def lower(c: Column, locale: str = "") -> Column:
     return turkish_lower(c) if locale == "tr" else F.lower(c)
 
 
+def raw_tokens(c: Column, locale: str = "") -> Column:
+    """What stands between blanks and ASCII punctuation, lowered."""
+    return F.split(lower(c, locale), r"[\x09-\x0D\x20\p{Punct}]+")
+
+
+def letters_only(rows: DataFrame, max_length: int = 25) -> DataFrame:
+    """Rows whose tok passes for a training token: the filter of letter_tokens on exploded rows, inside code generation."""
+    return rows.filter((F.length("tok") < max_length) & F.col("tok").rlike(r"^\p{L}+$"))
+
+
 def letter_tokens(c: Column, max_length: int = 25, locale: str = "") -> Column:
     """Training tokens: split at blanks and ASCII punctuation, lowered, letters only, shorter than max_length."""
-    parts = F.split(lower(c, locale), r"[\x09-\x0D\x20\p{Punct}]+")
-    return F.filter(parts, lambda x: x.rlike(r"^\p{L}+$") & (F.length(x) < max_length))
+    return F.filter(raw_tokens(c, locale), lambda x: x.rlike(r"^\p{L}+$") & (F.length(x) < max_length))
 
 
 def blank_tokens(c: Column) -> Column:

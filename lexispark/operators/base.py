@@ -26,8 +26,10 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; one of fewer splits than there are cores is spread over them first."""
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name == "documents" and df.rdd.getNumPartitions() < cores else df
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -46,7 +48,7 @@ def token_rows(docs: DataFrame) -> DataFrame:
 
 def token_counts(docs: DataFrame) -> DataFrame:
     """tok, cnt. Counted without positions: partial aggregates before the only shuffle."""
-    return docs.select(F.explode(X.letter_tokens(F.col("text"))).alias("tok")).groupBy("tok").agg(F.count("*").alias("cnt"))
+    return X.letters_only(docs.select(F.explode(X.raw_tokens(F.col("text"))).alias("tok"))).groupBy("tok").agg(F.count("*").alias("cnt"))
 
 
 def lexicon(docs: DataFrame, least: int = 20, shortest: int = 2, longest: int = 7) -> DataFrame:

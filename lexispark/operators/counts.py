@@ -100,7 +100,12 @@ def trie_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pairs_ahead(toks, window: int):
     """Structs (src, dst, d) of every token with those up to window places ahead."""
     n = F.size(toks)
-    return F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.filter(F.sequence(F.lit(1), F.lit(window)), lambda d: i + d <= n), lambda d: F.struct(F.element_at(toks, i).alias("src"), F.element_at(toks, i + d).alias("dst"), d.alias("d")))))
+
+    def at(d: int):
+        left = F.greatest(n - d, F.lit(0))
+        return F.zip_with(F.slice(toks, F.lit(1), left), F.slice(toks, F.lit(1 + d), left), lambda x, y: F.struct(x.alias("src"), y.alias("dst"), F.lit(d).alias("d")))
+
+    return F.concat(*(at(d) for d in range(1, window + 1)))
 
 
 def link_counts(sents: DataFrame, window: int = 6) -> DataFrame:
