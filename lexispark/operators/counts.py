@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.models import load, save
 from .base import SQL_COUNTS, SQL_LEXICON, SQL_SENTENCES, SQL_TOKENS, lexicon, query, read, sentences, token_counts, token_rows
 
 START, END = "<s>", "</s>"
@@ -152,15 +153,7 @@ def merge_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("epoch_shards", "with o as (select doc_id, text, row_number() over (order by doc_id) - 1 as rn from documents) select (rn // 100)::bigint as epoch, count(*) as n, min(doc_id) as first_doc, sum(length(text))::bigint as n_chars from o group by 1")
 def epoch_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offset and limit by row for every epoch at once. Rows are numbered by partition offsets of a range sort, not in one task."""
-    ordered = read(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n")).repartitionByRange("doc_id").withColumn("part", F.spark_partition_id())
-    inner = ordered.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("doc_id")))
-    sizes = sorted((r.part, r.c) for r in ordered.groupBy("part").agg(F.count("*").alias("c")).collect())
-    offsets, at = [], 0
-    for part, c in sizes:
-        offsets.append((part, at))
-        at += c
-    o = spark.createDataFrame(offsets or [(0, 0)], "part int, first long")
-    numbered = inner.join(o, "part").withColumn("epoch", F.floor((F.col("first") + F.col("k") - 1) / 100))
+    numbered = row_ids(read(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n")), ["doc_id"]).withColumn("epoch", F.floor(F.col("id") / 100))
     return numbered.groupBy("epoch").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.sum("n").cast("long").alias("n_chars"))
 
 
@@ -174,8 +167,8 @@ def vocab_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def row_ids(df: DataFrame, order: list[str]) -> DataFrame:
-    """id, 0 and up in the given order: ranges are counted, then numbered apart."""
-    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    """id, 0 and up in the given order: ranges are written, so they can't move, then counted and numbered apart."""
+    ranged = load(save(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges"))
     counts = sorted((r[0], r[1]) for r in ranged.groupBy("__part").count().collect())
     offsets, at = [], 0
     for part, n in counts:
@@ -237,8 +230,6 @@ def graph_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("model_roundtrip", f"with {SQL_SENTENCES}, {_LINKS} select bucket, count(*) as n, sum(cnt)::bigint as total from lc group by bucket")
 def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A link model written as Parquet and read again."""
-    from ..sources.models import load, save
-
     return load(save(link_counts(sentences(read(spark, sf_dir, "documents"))), "links")).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("cnt").alias("total"))
 
 

@@ -18,7 +18,7 @@ UPPER = "A-ZÇĞİÖŞÜ"
 #: Rule taggers: label and pattern.
 RULES: list[tuple[str, str]] = [
     ("DATE", r"\d{2}\.\d{2}\.\d{4}"), ("TIME", r"\d{2}:\d{2}(?: [ap]\.m\.)?"), ("WORD", r"[a-zA-ZçğıöşüÇĞİÖŞÜ]+"), ("STOP", r"[?.:!]+"), ("SYM", r"[\^%$#€Â*£=@]"),
-    ("MONEY", rf"(?:\d+,\d+\.\d+|\d+\.\d+|\d+)(?:[$€£¥₹₱₺]|Kč|[{UPPER}]+)"), ("SEP", r"_|-|&&|~|¨|'"), ("NUM", r"\d+,\d+\.\d+|\d+"), ("NUM", r"\d+\.\d+"), ("ABBR", rf"(?:[{UPPER}]\.)+"), ("ABBR", rf"[{UPPER}]+"), ("ADJ", r"\d+'?(?:inci|ıncı|uncu|üncü|nci|ncı|ncu|ncü|lar|ler\.)"),
+    ("MONEY", rf"(?:\d+,\d+\.\d+|\d+\.\d+|\d+)(?:[$€£¥₹₱₺]|Kč|[{UPPER}]+)"), ("SEP", r"_|-|&&|~|¨|'"), ("NUM", r"\d+,\d+\.\d+|\d+"), ("NUM", r"\d+\.\d+"), ("ABBR", rf"(?:[{UPPER}]\.)+"), ("ABBR", rf"[{UPPER}]+"), ("ADJ", r"\d+'?(?:[ıiuü]?nc[ıiuü]|lar|ler\.)"),
 ]
 
 
