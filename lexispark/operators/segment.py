@@ -1,8 +1,9 @@
 """Splitting words into pieces, and decoding lines with the link model.
 
-Segmentation is a function of the token, so it runs on distinct tokens. The
-lexicon is a model of bounded size (``MAX_LEXICON`` words, the most frequent),
-held by every task; links likewise (``MAX_LINKS``).
+Segmentation is a function of the token, so it runs on distinct tokens, each with
+the lexicon pieces that stand in it, joined by equality. ``window_decode`` still
+holds a lexicon of bounded size (``MAX_LEXICON`` words, the most frequent) in
+every task; links likewise (``MAX_LINKS``).
 """
 
 from __future__ import annotations
@@ -76,18 +77,22 @@ def longest_match(token: str, lex: dict[str, float]) -> tuple[str, ...]:
     return tuple(out)
 
 
-def token_splits(tokens: DataFrame, lex: dict[str, float], top: int = 3) -> DataFrame:
-    """tok, rank, split, n_pieces, score, greedy."""
+def token_splits(tokens: DataFrame, words: DataFrame, top: int = 3) -> DataFrame:
+    """tok, rank, split, n_pieces, score, greedy of distinct tokens under a lexicon (word, cnt) of any size."""
     ship(tokens.sparkSession)
-    sent = tokens.sparkSession.sparkContext.broadcast(lex)
+    total = words.agg(F.sum("cnt")).first()[0] or 1
+    n = F.length("tok")
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(PIECE), n - i + 1)), lambda k: F.substring("tok", i, k))))
+    known = tokens.select("tok", F.explode(F.array_distinct(parts)).alias("word")).join(words, "word").groupBy("tok").agg(F.collect_list("word").alias("words"), F.collect_list("cnt").alias("cnts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(t, k, "#".join(p), len(p), round(s, 9), "#".join(longest_match(t, sent.value))) for t in b.column(0).to_pylist() for k, (p, s) in enumerate(best_splits(t, sent.value, top), 1)]
+            lexes = [{w: c / total for w, c in zip(ws or (), cs or ())} for ws, cs in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            rows = [(t, k, "#".join(p), len(p), round(s, 9), "#".join(longest_match(t, lex))) for t, lex in zip(b.column(0).to_pylist(), lexes) for k, (p, s) in enumerate(best_splits(t, lex, top), 1)]
             cols = list(zip(*rows)) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.string()))], names=["tok", "rank", "split", "n_pieces", "score", "greedy"])
 
-    return tokens.select("tok").mapInArrow(run, "tok string, rank long, split string, n_pieces long, score double, greedy string")
+    return tokens.select("tok").join(known, "tok", "left").mapInArrow(run, "tok string, rank long, split string, n_pieces long, score double, greedy string")
 
 
 @query("lexicon", f"with {SQL_LEXICON} select word, cnt, round(cnt / sum(cnt) over (), 9) as share from lx")
@@ -111,7 +116,7 @@ def piece_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_splits_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best splits of every distinct token, and its greedy one; a test compares with all splits."""
     docs = read(spark, sf_dir, "documents")
-    return token_splits(token_counts(docs), bounded_lexicon(lexicon(docs)))
+    return token_splits(token_counts(docs), lexicon(docs))
 
 
 VOWELS, CONSONANTS = "aeıioöuü", "bcçdfgğhjklmnprsştvwyzxq"

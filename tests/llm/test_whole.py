@@ -1,8 +1,11 @@
 """Whole results where a shortcut would lose some."""
 
+import itertools
+import math
 import random
 
 from lexispark.llm import passages
+from lexispark.operators import segment
 
 VOCAB = ["".join(random.Random(k).choice("abdeilmnorstu") for _ in range(6)) + str(k) for k in range(3000)]
 
@@ -25,3 +28,13 @@ def test_passage_whose_seeds_stand_in_other_documents(spark):
     for i, _ in rows:
         assert [(s.start, s.end) for s in got[i].removed] == want.get(i, []) and got[i].n_links == (i in want)
         assert got[i].class_id == (i - 3 if i % 10 == 6 else i)
+
+
+def test_token_splits_use_the_whole_lexicon(spark, tmp_path):
+    """More than 50,000 lexicon words, all equally frequent: the last ones count too, and shares are taken over all."""
+    lex = ["".join(w) for w in itertools.islice(itertools.product("bcdfghjklmnpqrst", repeat=4), 50_100)]
+    last = lex[-1] + lex[-2]
+    d = spark.createDataFrame([(k, " ".join(lex)) for k in range(20)] + [(99, last)], "doc_id long, text string")
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    got = segment.token_splits_query(spark, str(tmp_path)).filter(f"tok = '{last}' and rank = 1").first()
+    assert got.split == got.greedy == f"{lex[-1]}#{lex[-2]}" and got.score == round(2 * math.log1p(1 / len(lex)), 9)
