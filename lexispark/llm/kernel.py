@@ -7,7 +7,10 @@ bytes (``CHUNK_BYTES``), so memory does not depend on Arrow's batch size; a
 longer text is a chunk of its own and is processed whole.
 
 Hashes are 64-bit: a random table value per byte under a polynomial modulo
-2**64, finished by a mixer. A null text counts as empty everywhere here.
+2**64, finished by a mixer. Such a polynomial alone can't tell some long
+sequences of two letters apart (from 512 bytes), so spans of more than ``BLOCK``
+bytes are hashed block by block and the blocks' mixed hashes are combined.
+A null text counts as empty everywhere here.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
+BLOCK = 64
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -57,12 +61,31 @@ def prefix_hash(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of codes[start:end], the same wherever the span stands."""
+def _poly(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     power, _ = _powers(len(prefix))
     return mix((prefix[end] - prefix[start]) * power[start] + (end - start).astype(_U) * _U(0xC2B2AE3D27D4EB4F))
 
 
+def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of codes[start:end], the same wherever the span stands."""
+    size = end - start
+    long = np.flatnonzero(size > BLOCK)
+    if not len(long):
+        return _poly(prefix, start, end)
+    out = np.empty(len(start), _U)
+    short = np.flatnonzero(size <= BLOCK)
+    out[short] = _poly(prefix, start[short], end[short])
+    for part in np.array_split(long, max(1, int(size[long].sum()) // (BLOCK << 17))):
+        n = -(-size[part] // BLOCK)
+        first = np.cumsum(n) - n
+        nth = np.arange(n.sum()) - np.repeat(first, n)
+        a = np.repeat(start[part], n) + nth * BLOCK
+        h = _poly(prefix, a, np.minimum(a + BLOCK, np.repeat(end[part], n)))
+        h = mix(h ^ mix(nth.astype(_U) + _U(0x2545F4914F6CDD1D)))
+        out[part] = mix(np.add.reduceat(h, first) + size[part].astype(_U) * _U(0x9FB21C651E98DF25))
+    return out
+
+
 def lut(chars: bytes) -> np.ndarray:
     out = np.zeros(256, bool)
     out[list(chars)] = True
