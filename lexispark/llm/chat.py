@@ -14,7 +14,9 @@ Turns are formatted row by row, without a shuffle. Reading back sorts the rows
 by conversation within partitions and streams them, so a conversation of any
 length needs no memory beyond one turn.
 
-Defined results: a null text is empty, a null role is the empty role; rows are
+Defined results: a null text is empty, a null role is the empty role; a null part
+is an empty text; a part of another or of no type is the placeholder ``<unknown 0>``,
+whose attachment keeps the type and expands to no tokens; rows are
 ordered by turn, nulls first, then role and formatted text, so repeated turns have a
 defined order; null conv_ids form one conversation; an empty table gives no
 rows; other columns are not read.
@@ -49,7 +51,7 @@ class ChatTemplate:
 
 _CONTROL = re.compile(r'[\\<"]')
 _ESCAPED = re.compile(r"\\(.)", re.S)
-_TURN = re.compile(r'<turn role="((?:[^"\\]|\\.)*)">((?:[^<\\]|\\.|<(?:image|audio|document) \d+>)*)</turn>\n', re.S)
+_TURN = re.compile(r'<turn role="((?:[^"\\]|\\.)*)">((?:[^<\\]|\\.|<(?:image|audio|document|unknown) \d+>)*)</turn>\n', re.S)
 
 
 def escape(text: str) -> str:
@@ -68,8 +70,9 @@ class PartVisitor:
     out: list[str] = field(default_factory=list)
     attachments: list[dict] = field(default_factory=list)
 
-    def visit(self, part: dict) -> None:
-        getattr(self, f"visit_{part['type']}", self.visit_unknown)(part)
+    def visit(self, part: dict | None) -> None:
+        if part is not None:
+            {"text": self.visit_text, "image": self.visit_image, "audio": self.visit_audio, "document": self.visit_document}.get(part["type"], self.visit_unknown)(part)
 
     def visit_text(self, part: dict) -> None:
         self.out.append(escape(part["text"] or ""))
@@ -85,11 +88,11 @@ class PartVisitor:
         self._attach(part, (part["pages"] or 0) * self.template.tokens_per_page)
 
     def visit_unknown(self, part: dict) -> None:
-        raise ValueError(f"content part of unknown type {part['type']!r}")
+        self._attach(part, 0, "unknown")
 
-    def _attach(self, part: dict, tokens: int) -> None:
+    def _attach(self, part: dict, tokens: int, name: str | None = None) -> None:
         n = len(self.attachments)
-        self.out.append(f"<{part['type']} {n}>")
+        self.out.append(f"<{name or part['type']} {n}>")
         self.attachments.append({"n": n, "type": part["type"], "ref": part["ref"], "tokens": tokens})
 
 
