@@ -126,10 +126,12 @@ def blocks(bench: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORD
     return out
 
 
-def _hits(c: K.Chunk, sent: list[Broadcast]) -> tuple[K.Words, np.ndarray, list[set[str]]]:
+def _hits(c: K.Chunk, sent: list[Broadcast]) -> tuple[K.Words, np.ndarray, list[set[str]], list[tuple | None]]:
+    """Words, words hit and items of each row, and its longest match (-length, word place, item, item's word place)."""
     w = c.words(K.ALNUM_WORD, lower=True)
     d = np.zeros(len(w.key) + 1, np.int64)
     items: list[set[str]] = [set() for _ in range(c.n)]
+    best: list[tuple | None] = [None] * c.n
     for b in sent:
         s = b.value
         for at, suffix, n in occurrences(c, w, s):
@@ -138,25 +140,54 @@ def _hits(c: K.Chunk, sent: list[Broadcast]) -> tuple[K.Words, np.ndarray, list[
             row = np.searchsorted(w.offs, at, "right") - 1
             for r, i in np.unique(np.stack([row, s.item[suffix]]), axis=1).T:
                 items[r].add(s.ids[i])
-    return w, K.span_sums(np.cumsum(d[:-1]) > 0, w.offs), items
+            for r, p, i, q, k in zip(*(x.tolist() for x in maximal(w, s, at, suffix, n))):
+                if best[r] is None or -k <= best[r][0]:
+                    now = (-k, p, s.ids[i], q)
+                    best[r] = now if best[r] is None else min(best[r], now)
+    return w, K.span_sums(np.cumsum(d[:-1]) > 0, w.offs), items, best
+
+
+def maximal(w: K.Words, s: Suffixes, at: np.ndarray, suffix: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """Row, word place in the row, item, word place in the item and length of the maximal matches that begin with windows found."""
+    row, item = np.searchsorted(w.offs, at, "right") - 1, s.item[suffix]
+    lo, q0 = w.offs[row], s.offs[item]
+    inner = (at > lo) & (suffix > q0)
+    first = ~inner | (w.key[np.maximum(at - 1, 0)] != s.key[np.maximum(suffix - 1, 0)])  # others are reported from further left
+    at, suffix, row, item = at[first], suffix[first], row[first], item[first]
+    room = np.minimum(w.offs[row + 1] - at, s.offs[item + 1] - suffix)
+    size = np.full(len(at), n)
+    alive = np.flatnonzero(size < room)
+    while len(alive):
+        alive = alive[w.key[at[alive] + size[alive]] == s.key[suffix[alive] + size[alive]]]
+        size[alive] += 1
+        alive = alive[size[alive] < room[alive]]
+    return row, at - w.offs[row], item, suffix - s.offs[item], size
+
+
+LONGEST = ["longest_match", "longest_item", "longest_doc_word", "longest_item_word"]
 
 
 def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per row of docs: words, words hit, items found and whether contaminated."""
+    """One row per row of docs: words, words hit, items found, whether contaminated, and the longest verbatim match.
+
+    Of longest matches the first in the document counts, of its items the least
+    id as a string, then the first place; without a match its length is 0 and the rest null.
+    """
     sent = blocks(bench, window, block_words)
 
     def run(b: pa.RecordBatch):
         for c in K.chunks(b.column(1)):
-            w, hit, items = _hits(c, sent)
+            w, hit, items, best = _hits(c, sent)
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0).slice(c.first, c.n), pa.array(w.count, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()),
                     pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]), pa.array(hit > 0),
+                    *(pa.array([(-x[k] if k == 0 else x[k]) if x else (0 if k == 0 else None) for x in best], t) for k, t in ((0, pa.int64()), (2, pa.string()), (1, pa.int64()), (3, pa.int64()))),
                 ],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *LONGEST],
             )
 
-    return map_batches(doc_texts(docs), run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return map_batches(doc_texts(docs), run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, longest_item string, longest_doc_word long, longest_item_word long")
 
 
 def longest_matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -169,16 +200,9 @@ def longest_matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW, blo
             out: list[list] = [[], [], [], [], []]
             for s in (x.value for x in sent):
                 for at, suffix, n in occurrences(c, w, s):
-                    for p, q in zip(at.tolist(), suffix.tolist()):
-                        row, item = int(np.searchsorted(w.offs, p, "right")) - 1, int(s.item[q])
-                        lo, hi, q0, q1 = int(w.offs[row]), int(w.offs[row + 1]), int(s.offs[item]), int(s.offs[item + 1])
-                        if p > lo and q > q0 and w.key[p - 1] == s.key[q - 1]:
-                            continue  # reported from further left
-                        k = n
-                        while p + k < hi and q + k < q1 and w.key[p + k] == s.key[q + k]:
-                            k += 1
-                        for col, v in zip(out, (c.first + row, p - lo, s.ids[item], q - q0, k)):
-                            col.append(v)
+                    row, place, item, item_place, size = maximal(w, s, at, suffix, n)
+                    for col, v in zip(out, (row + c.first, place, [s.ids[i] for i in item], item_place, size)):
+                        col.extend(v if isinstance(v, list) else v.tolist())
             if out[0]:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(out[0])), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int64())], names=["doc_id", "doc_word", "item_id", "item_word", "n_match"])
 
@@ -207,8 +231,12 @@ def cte_sql(docs: str = "documents", p: str = "", window: int = WINDOW) -> str:
 {p}cm as (select g.rid, g.i, g.n, w.item from {p}cg g join {p}cw w using (n, win)),
 {p}ch as (select rid, count(distinct k) as n_hit from (select rid, unnest(range(i, i + n)) as k from {p}cm) group by rid),
 {p}ci as (select rid, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct rid, item from {p}cm) group by rid),
-{p}hits as (select rid, doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-  from {p}cd left join {p}ch using (rid) left join {p}ci using (rid))"""
+{p}cp as (select rb, item, n, j, array_to_string(ws[j:j + n - 1], ' ') as win from (select rb, item, n, ws, unnest(range(1, len(ws) - n + 2)) as j from (select row_number() over () as rb, * from {p}cb))),
+{p}cr as (select rid, item, i, j, n, i - row_number() over (partition by rid, rb, i - j order by i) as island, rb from {p}cg join {p}cp using (n, win)),
+{p}cl as (select rid, item, min(i) - 1 as di, min(j) - 1 as dj, count(*) + max(n) - 1 as k from {p}cr group by rid, rb, item, i - j, island),
+{p}cx as (select rid, k as longest_match, item as longest_item, di as longest_doc_word, dj as longest_item_word from (select *, row_number() over (partition by rid order by k desc, di, item, dj) as r from {p}cl) where r = 1),
+{p}hits as (select rid, doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(longest_match, 0) as longest_match, longest_item, longest_doc_word, longest_item_word
+  from {p}cd left join {p}ch using (rid) left join {p}ci using (rid) left join {p}cx using (rid))"""
 
 
 def oracle() -> str:
