@@ -30,6 +30,7 @@ count as toxic.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,7 +50,6 @@ class ToxicityParams:
     max_prefix: int = 14
     min_support: int = 2
     min_precision: float = 0.9
-    max_terms: int = 2000
     #: A term of so large a share of the toxic documents is taken even if others explain all of them.
     common: float = 0.05
     #: What a misspelled hit counts beside an exact one.
@@ -211,6 +211,11 @@ def _prefixes(text: str | None, p: ToxicityParams) -> set[str]:
     return out
 
 
+def _backwards(t: str) -> tuple[int, ...]:
+    """Sorts strings in falling order."""
+    return tuple(-ord(ch) for ch in t) + (1,)
+
+
 def learn_lexicon(sample: DataFrame, p: ToxicityParams) -> Lexicon:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic: dict[str, int] = {}
@@ -226,8 +231,7 @@ def learn_lexicon(sample: DataFrame, p: ToxicityParams) -> Lexicon:
     if not n_toxic:
         return Lexicon([], [])
     rows = sample.filter("toxic = 1").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= p.min_support)
-    rows = rows.orderBy(F.desc("n"), "term").limit(50 * p.max_terms).collect()
-    support = {r.term: r.n for r in rows}
+    support = {r.term: r.n for r in rows.collect()}  # no more than the sample's words have
     wanted = frozenset(support)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +244,7 @@ def learn_lexicon(sample: DataFrame, p: ToxicityParams) -> Lexicon:
 
     false = {r.term: r.n for r in sample.filter("toxic <> 1").mapInArrow(clean, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     rate = lambda t: support[t] / n_toxic / (support[t] / n_toxic + (false.get(t, 0) + 0.01) / max(n_clean, 1))
-    good = sorted((t for t in support if not t.endswith(" ") and rate(t) >= p.min_precision), key=lambda t: (-support[t], len(t), t))[: p.max_terms]
+    good = sorted((t for t in support if not t.endswith(" ") and rate(t) >= p.min_precision), key=lambda t: (-support[t], len(t), t))
     keep = frozenset(good)
 
     def who(b: pa.RecordBatch):
@@ -254,10 +258,21 @@ def learn_lexicon(sample: DataFrame, p: ToxicityParams) -> Lexicon:
             holders.setdefault(t, []).append(i)
     left, words, stems = set(range(n_toxic)), [], []
     open_ = {t: set(h) for t, h in holders.items()}
+    rank = {t: k for k, t in enumerate(sorted(open_, key=lambda t: (-support[t], len(t), _backwards(t))))}
+    heap = [(-len(h), rank[t], t) for t, h in open_.items()]  # gains only fall, so a gain is counted anew when it is on top
+    heapq.heapify(heap)
+    frequent = sorted(open_, key=rank.get, reverse=True)
     while open_:
-        t = max(open_, key=lambda t: (len(open_[t] & left), support[t], -len(t), t))
-        if len(open_[t] & left) < p.min_support:  # nothing new but what is common by itself
-            t = max(open_, key=lambda t: (support[t], -len(t), t))
+        while heap and heap[0][2] not in open_:
+            heapq.heappop(heap)
+        gain, at, t = heap[0]
+        if -gain >= p.min_support and (now := len(open_[t] & left)) < -gain:
+            heapq.heapreplace(heap, (-now, at, t))
+            continue
+        if -gain < p.min_support:  # nothing new but what is common by itself
+            while frequent[-1] not in open_:
+                frequent.pop()
+            t = frequent[-1]
             if support[t] < p.common * n_toxic:
                 break
         longer = [x for x in open_ if x.startswith(t) and support[x] >= 0.8 * support[t]]
@@ -340,7 +355,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id, score, n_exact, n_misspelled, n_quoted for every row of docs."""
-    w, sent = model.weights, docs.sparkSession.sparkContext.broadcast(model)  # a lexicon of at most max_terms terms
+    w, sent = model.weights, docs.sparkSession.sparkContext.broadcast(model)  # as large as the words of fit_rows texts allow
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(sent.value.lexicon, sent.value.params)
