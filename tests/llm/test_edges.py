@@ -155,6 +155,25 @@ def contamination(texts, bench, window=10):
         yield i, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)
 
 
+def longest(text, window=10):
+    """Length, item, place in the text and in the item of the longest verbatim match with an item."""
+    pat, found = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", []
+    x = re.findall(pat, low(text))
+    for item, t in BENCH:
+        y = re.findall(pat, low(t))
+        for i in range(len(x)):
+            for j in range(len(y)):
+                k = 0
+                while i + k < len(x) and j + k < len(y) and x[i + k] == y[j + k]:
+                    k += 1
+                if k >= min(window, len(y)):
+                    found.append((-k, i, "" if item is None else str(item), j))
+    if not found:
+        return [0, None, None, None]
+    k, i, item, j = min(found)
+    return [-k, item, i, j]
+
+
 def test_decontamination(docs, bench, none):
     want = sorted(contamination(TEXTS, BENCH), key=repr)
     names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -163,6 +182,8 @@ def test_decontamination(docs, bench, none):
     assert decontam.contamination(none, bench).count() == 0 and decontam.contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
     kept = decontam.keep_uncontaminated(docs, bench)
     assert kept.columns == docs.columns and kept.count() == sum(not w[5] for w in want)
+    for i, *best in rows(decontam.contamination(docs, bench), "doc_id", *decontam.LONGEST):
+        assert best in [longest(t) for j, t in TEXTS if j == i]
     long = decontam.longest_matches(docs, bench).filter("doc_id = 1 and item_id = '0'").collect()
     assert [(r.doc_word, r.item_word, r.n_match) for r in long] == [(20, 0, 20)]
 
@@ -188,9 +209,22 @@ def test_chat_round_trip(spark):
     assert back[1].n_turns == 2 and back[1].attachment_tokens == 42 and back[None].n_turns == 1 and back[None].loss_chars == 0
     assert chat.parse_turns(out[2, 5].formatted) == [('a"r', "")]
     assert chat.read_back(chat.format_turns(d.limit(0))).count() == 0
-    bad = spark.createDataFrame([(1, 1, "user", [dict(part, type="video")])], d.schema)
-    with pytest.raises(Exception, match="unknown type"):
-        chat.format_turns(bad).collect()
+    odd = spark.createDataFrame([(1, 1, "user", [dict(part, type="video"), None, say, dict(part, type=None)])], d.schema)
+    got = chat.format_turns(odd).first()
+    assert chat.parse_turns(got.formatted) == [("user", "<unknown 0>" + say["text"] + "<unknown 1>")]
+    assert [(x.n, x.type, x.ref, x.tokens) for x in got.attachments] == [(0, "video", "s3-like/ref", 0), (1, None, "s3-like/ref", 0)]
+
+
+def test_chat_rows(spark):
+    """Very long texts, repeated rows, tied turns and columns whose names the operator uses itself."""
+    long = '<"\\' * 100_000
+    turns = [(3, 0, "assistant", long), (3, 0, "assistant", long), (4, 1, "user", "b"), (4, 1, "user", "a"), (4, None, "assistant", None)]
+    d = spark.createDataFrame([(*t, "x", None, "y") for t in turns], "conv_id long, turn long, role string, text string, formatted string, loss int, attachments string")
+    got = {r.conv_id: r for r in chat.read_back(chat.format_turns(d)).collect()}
+    assert got[3].n_turns == 2 and got[3].loss_chars == 2 * len(long)
+    digest = lambda rows: hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in rows).encode()).hexdigest()
+    assert got[3].turns_sha256 == digest([("assistant", long)] * 2)
+    assert got[4].turns_sha256 == digest([("assistant", ""), ("user", "a"), ("user", "b")])
 
 
 def capacity(sizes, shards):
@@ -353,9 +387,9 @@ def test_toxicity(spark, docs, none):
     got = {x.doc_id: x for x in toxicity.score(d, model).collect()}
     held = [k for k, _ in texts if zlib.crc32(str(k).encode()) % 5 == 0]
     assert all((got[k].score >= 0.5) == (k % 4 == 0) for k in held)
-    probe = spark.createDataFrame([(1, 'they said "pathetic" to us'), (2, "pathetic people"), (3, "pahtetic pathteic people"), (4, None)], "doc_id long, text string")
+    probe = spark.createDataFrame([(1, 'they said "pathetic" to us'), (2, "pathetic people"), (3, "pahtetic pathteic people"), (4, None), (5, 'they said "pathetic" to us')], "doc_id long, text string")
     s = {x.doc_id: x for x in toxicity.score(probe, model).collect()}
-    assert s[1].n_quoted == 1 and s[1].score < 0.5 <= s[2].score and s[3].n_misspelled == 2 and s[4].score < 0.5
+    assert s[1].n_quoted == 1 and s[1].score < 0.5 <= s[2].score and s[3].n_misspelled == 2 and s[4].score < 0.5 and s[1].score == s[5].score
     assert toxicity.score(docs, model).count() == len(TEXTS) and toxicity.score(none, model).count() == 0
     flat = toxicity.fit(none, labels.limit(0))
     assert {x.score < 0.01 for x in toxicity.score(d, flat).collect()} == {True}
