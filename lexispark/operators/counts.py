@@ -18,16 +18,17 @@ START, END = "<s>", "</s>"
 
 
 def normalise(counts: DataFrame, by: list[str], digits: int = 9) -> DataFrame:
-    """Share of each row in its parent's total."""
-    total = F.sum("cnt").over(Window.partitionBy(*by))
-    return counts.withColumn("score", F.round(F.col("cnt") / total, digits))
+    """Share of each row in its parent's total; totals are aggregated and joined, so a hot parent's rows stay spread."""
+    totals = counts.groupBy(*by).agg(F.sum("cnt").alias("__total"))
+    return counts.join(totals, by).withColumn("score", F.round(F.col("cnt") / F.col("__total"), digits)).select(*counts.columns, "score")
 
 
 def prune(scored: DataFrame, by: str, n: int, ties: list[str], exempt: tuple[str, ...] = ()) -> DataFrame:
-    """The n best rows of each source; exempt sources keep all."""
+    """The n best rows of each source; exempt sources keep all. Only n rows of a source and task are shuffled for it."""
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("cnt"), *ties))
-    kept = scored.withColumn("__rank", rank).filter((F.col("__rank") <= n) | F.col(by).isin(*exempt) if exempt else F.col("__rank") <= n)
-    return kept.drop("__rank")
+    free = F.col(by).isin(*exempt) if exempt else F.lit(False)
+    kept = scored.filter(~free).withColumn("__rank", rank).filter(F.col("__rank") <= n).drop("__rank")
+    return kept.union(scored.filter(free)) if exempt else kept
 
 
 def merge(parts: list[DataFrame], keys: list[str]) -> DataFrame:
@@ -130,7 +131,7 @@ def rank_links_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalise(prune(counts, "src", 10, ["dst", "bucket"], (START, END)), ["src"])
 
 
-@query("pruned_targets", f"with {SQL_SENTENCES}, {_LINKS}, r as (select *, row_number() over (partition by src order by cnt desc, dst, bucket) as k from lc), kept as (select src, dst, bucket, cnt from r where k <= 3) select x.* from kept x where exists (select 1 from kept y where y.src = x.dst)")
+@query("pruned_targets", f"with {SQL_SENTENCES}, {_LINKS}, r as (select *, row_number() over (partition by src order by cnt desc, dst, bucket) as k from lc), kept as materialized (select src, dst, bucket, cnt from r where k <= 3) select * from kept where dst in (select src from kept)")
 def pruned_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pruning of a graph: edges to states that lost all their own edges go too."""
     kept = prune(link_counts(sentences(read(spark, sf_dir, "documents"))), "src", 3, ["dst", "bucket"])
@@ -182,8 +183,10 @@ def row_ids(df: DataFrame, order: list[str]) -> DataFrame:
 def cooccurrence(sents: DataFrame, window: int = 3) -> DataFrame:
     """w1, w2, x: symmetric counts weighted by 1 / distance, kept as exact sixtieths until the end."""
     p = sents.select(F.inline(pairs_ahead("toks", window))).select("src", "dst", (F.lit(60) / F.col("d")).cast("long").alias("w"))
-    both = p.select("src", "dst", "w").union(p.select("dst", "src", "w"))
-    return both.groupBy(F.col("src").alias("w1"), F.col("dst").alias("w2")).agg(F.round(F.sum("w") / 60, 6).alias("x"))
+    once = p.groupBy(F.least("src", "dst").alias("w1"), F.greatest("src", "dst").alias("w2")).agg(F.sum("w").alias("w"))
+    x = F.round(F.when(F.col("w1") == F.col("w2"), 2 * F.col("w")).otherwise(F.col("w")) / 60, 6)
+    sides = F.when(F.col("w1") == F.col("w2"), F.array(F.struct("w1", "w2"))).otherwise(F.array(F.struct("w1", "w2"), F.struct(F.col("w2").alias("w1"), F.col("w1").alias("w2"))))
+    return once.select(F.inline(sides), x.alias("x")).toDF("w1", "w2", "x")
 
 
 @query("cooccurrence", f"with {SQL_SENTENCES}, p as (select toks[i] as a, toks[i + d] as b, 60 // d as w from (select toks, i, unnest(range(1, least(3, len(toks) - i) + 1)) as d from (select toks, unnest(range(1, len(toks))) as i from se))), u as (select a, b, w from p union all select b, a, w from p) select a as w1, b as w2, round(sum(w) / 60.0::double, 6) as x from u group by a, b")

@@ -1,16 +1,13 @@
-"""Splitting words into pieces, and decoding lines with the link model.
+"""Splitting words into pieces, and the score of a combination of splits.
 
 Segmentation is a function of the token, so it runs on distinct tokens, each with
-the lexicon pieces that stand in it, joined by equality. ``window_decode`` still
-holds a lexicon of bounded size (``MAX_LEXICON`` words, the most frequent) in
-every task; links likewise (``MAX_LINKS``).
+the lexicon pieces that stand in it, joined by equality.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,21 +15,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..shipping import ship
-from .base import SQL_COUNTS, SQL_LEXICON, lexicon, query, read, sentences, token_counts
-from .counts import END, START, link_counts, normalise, prune
+from .base import SQL_COUNTS, SQL_LEXICON, lexicon, query, read, token_counts
 
-MAX_LEXICON = 50_000
-MAX_LINKS = 200_000
 PIECE = 7
 
 
-def bounded_lexicon(words: DataFrame, most: int = MAX_LEXICON) -> dict[str, float]:
-    """Shares of the most frequent words."""
-    rows = words.orderBy(F.desc("cnt"), "word").limit(most).collect()
-    total = sum(r.cnt for r in rows) or 1
-    return {r.word: r.cnt / total for r in rows}
-
-
 def splits(token: str, lex: dict[str, float], longest: int = PIECE, rest: bool = False) -> Iterator[tuple[str, ...]]:
     """All ways to cover the token with lexicon pieces; with rest, a free remainder may follow the last of them."""
     def walk(at: int, path: tuple[str, ...]) -> Iterator[tuple[str, ...]]:
@@ -169,33 +156,3 @@ def combination_score(combo: list[tuple[tuple[str, ...], float]], links: dict, i
         r = A**i
         total += r**iterations * start + B * inflow * (1 - r**iterations) / (1 - r)
     return total
-
-
-def decode_line(toks: list[str], lex: dict[str, float], links: dict, window: int = 3, top: int = 2) -> list[str]:
-    """Pieces of a line: the first window whole, then the last token of each further window. Ties go to the later combination."""
-    alts = {t: best_splits(t, lex, top) for t in set(toks)}
-    out, memo = [], {}
-    for w in range(max(len(toks) - window, 0) + 1):
-        choices = [alts[t] for t in toks[w : w + window]]
-        best = max(enumerate(tuple(reversed(c)) for c in product(*reversed(choices))), key=lambda x: (round(combination_score(list(x[1]), links, memo=memo), 9), x[0]))[1]
-        for pieces, _ in best if not w else best[-1:]:
-            out.extend(pieces)
-    return out
-
-
-@query("window_decode")
-def window_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line rewritten as pieces: splits ranked by the links between neighbours; tests check the closed form against the loop."""
-    docs = read(spark, sf_dir, "documents")
-    s = sentences(docs)
-    lex = bounded_lexicon(lexicon(docs))
-    scored = normalise(prune(link_counts(s), "src", 20, ["dst", "bucket"], (START, END)), ["src"])
-    rows = scored.join(lexicon(docs).select(F.col("word").alias("src")), "src", "left_semi").orderBy(F.desc("cnt"), "src", "dst", "bucket").limit(MAX_LINKS).collect()
-    sent = spark.sparkContext.broadcast((lex, {(r.src, r.dst, r.bucket): -math.log(r.score) for r in rows if r.score > 0}))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            pieces = [decode_line(t, *sent.value) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([int(x) for x in b.column(1).to_pylist()], pa.int64()), pa.array([len(p) for p in pieces], pa.int64()), pa.array([" ".join(p) for p in pieces], pa.string())], names=["doc_id", "line", "n_pieces", "pieces"])
-
-    return s.mapInArrow(run, "doc_id long, line long, n_pieces long, pieces string")

@@ -1,5 +1,6 @@
 """Operators against brute force, hand-derived values and invariants."""
 
+import collections
 import itertools
 import math
 import random
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from lexispark.operators import counts, models, segment, tagging, vectors
+from lexispark.operators import counts, decode, models, segment, tagging, vectors
 
 SPANS = [("w1", 100, 200), ("w2", 150, 165), ("w3", 100, 190), ("w4", 170, 225), ("w5", 190, 220), ("w6", 75, 125)]
 
@@ -56,7 +57,80 @@ def test_closed_form_is_the_loop(passes):
                 f = [links[x, y, b] for x in combo[k][0] for y in combo[i][0]]
                 s[i] = 0.85 * s[i] + 0.15 * sum(f) / len(f)
     assert abs(sum(s) - segment.combination_score(combo, links, passes)) < 1e-12
-    assert "".join(segment.decode_line(["ab", "c", "ab"], {"a": 0.5, "b": 0.2, "ab": 0.1}, links)) == "abcab"
+    lex = {"a": 0.5, "b": 0.2, "ab": 0.1}
+    assert "".join(decode.decode_line(["ab", "c", "ab"], {t: segment.best_splits(t, lex, 2) for t in ("ab", "c")}, links, segment.combination_score)) == "abcab"
+
+
+LINES = ["abra kadabra abra kada bra", "kada bra abra", "bra", "abra kadabra simsala bim bim abra", "bim kada kada bra simsala abra kadabra bim"]
+
+
+@pytest.fixture(scope="module")
+def small(spark, tmp_path_factory):
+    at = tmp_path_factory.mktemp("small")
+    rows = [(k, "\n".join(LINES[k % 5 :])) for k in range(12)] + [(50, None), (51, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
+    return str(at), [t.split("\n") for _, t in rows if t]
+
+
+def shares(rows):
+    total = collections.Counter()
+    for (src, *_), n in rows.items():
+        total[src] += n
+    return {k: round(n / total[k[0]], 9) for k, n in rows.items()}
+
+
+def trie(lines):
+    c = collections.Counter()
+    for t in lines:
+        for i in range(max(len(t) - 1, 1)):
+            win = t[i : i + 2]
+            for j, x in enumerate(win):
+                c[" ".join(win[:j]), x, ""] += 1
+    return shares(c)
+
+
+def test_path_likelihood_query(spark, small):
+    at, docs = small
+    lines = [[line.split() for line in d] for d in docs]
+    w = trie([t for d in lines for t in d])
+    got = {r.doc_id: r.likelihood for r in models.path_likelihood_query(spark, at).collect()}
+    plain = {(a, b): x for (a, b, _), x in w.items()}
+    assert got == {k: round(sum(models.path_likelihood(t, plain) for t in d), 5) for k, d in enumerate(lines)}
+    assert abs(models.path_likelihood(["a", "b", "c", "d"], {("", "a"): 0.5, ("", "c"): 0.5, ("a", "b"): 1.0, ("b", "c"): 1.0, ("c", "d"): 1.0}) - 2 * (math.log1p(0.5) + math.log1p(1))) < 1e-12
+
+
+@pytest.mark.parametrize("scorer", ["rank", "path", "skip", "damped"])
+def test_decoders_against_collected_models(spark, small, scorer):
+    """The joined models give what whole models in one place give."""
+    at, docs = small
+    lines = [(k, i, line.split()) for k, d in enumerate(docs) for i, line in enumerate(d)]
+    count = collections.Counter(t for _, _, ts in lines for t in ts)
+    lex = {t: n for t, n in count.items() if n >= 20 and 2 <= len(t) <= 7}
+    lex = {t: n / sum(lex.values()) for t, n in lex.items()}
+    alts = {t: segment.best_splits(t, lex, 2) for t in count}
+    assert any(len(a) > 1 for a in alts.values())
+    if scorer == "rank":
+        c = collections.Counter()
+        for _, _, ts in lines:
+            f = ["<s>", *ts, "</s>"]
+            c.update((f[i], f[j], decode.bucket(j - i)) for i in range(len(f)) for j in range(i + 1, min(i + 7, len(f))))
+    else:
+        pieces = [[p for t in ts for p in alts[t][0][0]] for _, _, ts in lines]
+        w = trie(pieces)
+        c = collections.Counter((f[i], f[j], decode.bucket(j - i)) for f in pieces for i in range(len(f)) for j in range(i + 1, min(i + 7, len(f))))
+    kept = {}
+    for src in {k[0] for k in c}:
+        mine = sorted((k for k in c if k[0] == src), key=lambda k: (-c[k], k[1], k[2]))
+        kept |= {k: c[k] for k in (mine if src in ("<s>", "</s>") else mine[:20])}
+    links = {k: -math.log(x) for k, x in shares(kept).items()} if scorer == "rank" else w if scorer == "path" else w | shares(kept)
+    want = {(k, i): " ".join(decode.decode_line(ts, alts, links, decode.SCORERS[scorer])) for k, i, ts in lines}
+    got = {(r.doc_id, r.line): r.pieces for r in decode._decode(spark, at, scorer).collect()}
+    assert got == want
+
+
+def test_ranked_candidates(spark, small):
+    got = decode.ranked_candidates(spark, small[0]).filter("tok = 'kadabra'").orderBy("rank").collect()
+    assert [r.rank for r in got] == list(range(1, len(got) + 1)) and [r.likelihood for r in got] == sorted((r.likelihood for r in got), reverse=True)
 
 
 def test_viterbi_is_best_path(spark):
