@@ -6,15 +6,21 @@ sets are collapsed to their least doc_id first, so thousands of copies cost one
 signature. Signatures of ``bands * rows`` minima are banded; within a band
 bucket each member is first paired with the bucket's least member only (a star,
 found by aggregation and a join that may split hot keys, never all pairs). What
-the star links is a component; then only pairs of a bucket that still lie in
-different components, with sizes that allow the similarity, are formed.
+the star links is a component. Members of a bucket that still lie in different
+components are compared where the bucket is: they carry their signatures, and only
+pairs that these don't rule out leave the task. A bucket is cut into blocks of
+about ``block`` members and each two blocks meet in a task; one of more than
+``bucket`` members is first divided by every second band that members share, and
+what is then still larger by a third.
 Pairs are verified sequentially: signature batches of ``batch`` minima (their
 low bytes) are compared, and a pair is dropped as soon as the posterior
 probability of a similarity of at least the threshold is under ``miss``.
 Survivors are compared on their full sets, so every link is exact.
 
 A pair at the very threshold stays unbanded with probability
-(1 - 0.8**rows)**bands, 6e-7 with the defaults.
+(1 - 0.8**rows)**bands, 6e-7 with the defaults; it shares fewer than two bands with
+probability 1.1e-5 and fewer than three with 1e-4, which counts only where all buckets that hold
+it are so large.
 
 Defined results: a null or empty text has an empty set, is linked with nothing
 and kept; rows that share a doc_id are one node; a null doc_id is linked with
@@ -31,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from ..shipping import ship
 from .common import doc_texts, forget, map_batches, table, written
 from .graph import components
 
@@ -45,6 +52,8 @@ class MinHashParams:
     bands: int = 36
     rows: int = 5
     batch: int = 30
+    block: int = 256
+    bucket: int = 4096
     miss: float = 1e-9
     seed: int = 11
 
@@ -141,6 +150,15 @@ def needed_matches(p: MinHashParams) -> list[tuple[int, int]]:
     return out
 
 
+def alive_pairs(x: np.ndarray, y: np.ndarray, need: list[tuple[int, int]]) -> np.ndarray:
+    """Rows of two signature tables that no batch rules out."""
+    alive, matches, done = np.arange(len(x)), np.zeros(len(x), np.int64), 0
+    for size, least in need:
+        matches[alive] += (x[alive, done:size] == y[alive, done:size]).sum(1)
+        alive, done = alive[matches[alive] >= least], size
+    return alive
+
+
 def plausible(pairs: DataFrame, sigs: DataFrame, p: MinHashParams) -> DataFrame:
     """Pairs (a, b) that no batch of their signatures rules out."""
     need = needed_matches(p)
@@ -148,17 +166,78 @@ def plausible(pairs: DataFrame, sigs: DataFrame, p: MinHashParams) -> DataFrame:
     both = pairs.join(s.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(s.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
 
     def run(b: pa.RecordBatch):
-        n = b.num_rows
-        x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(n, -1) for i in (2, 3))
-        alive, matches, done = np.arange(n), np.zeros(n, np.int64), 0
-        for size, least in need:
-            matches[alive] += (x[alive, done:size] == y[alive, done:size]).sum(1)
-            alive, done = alive[matches[alive] >= least], size
-        yield b.select([0, 1]).take(pa.array(alive))
+        x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (2, 3))
+        yield b.select([0, 1]).take(pa.array(alive_pairs(x, y, need)))
 
     return map_batches(both, run, "a long, b long")
 
 
+def plausible_within(placed: DataFrame, reps: DataFrame, p: MinHashParams) -> DataFrame:
+    """Pairs (a, b) of members (band, rep, n, root) of a bucket that lie in different components and that no batch rules out."""
+    need, found = needed_matches(p), []
+    whole = placed.select("band", "rep", "root")
+    for level in range(3):
+        sizes = whole.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1")
+        if level:
+            sizes = written(sizes, "sizes")
+        small = sizes if level == 2 else sizes.filter(F.col("m") <= p.bucket)
+        found.append(whole.join(small, "band"))
+        if level == 2 or sizes.filter(F.col("m") > p.bucket).isEmpty():
+            break
+        large = whole.join(sizes.filter(F.col("m") > p.bucket).select("band"), "band").join(reps.select("rep", F.explode(F.array_distinct("bands")).alias("other")), "rep")
+        whole = written(large.select(F.xxhash64("band", "other").alias("band"), "rep", "root").distinct(), "divided")
+    rows = found[0]
+    for f in found[1:]:
+        rows = rows.union(f)
+    blocks = F.ceil(F.col("m") / p.block).cast("int")
+    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    rows = rows.select("band", "rep", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    rows = rows.select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "root").distinct()
+    rows = rows.join(reps.select("rep", "n", "sig"), "rep").select("band", "x", "y", "own", "rep", "root", "n", "sig")
+    rows = rows.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y", "rep")
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def pairs(t: pa.Table) -> np.ndarray:
+            key = np.stack([t.column(k).to_numpy() for k in (0, 1, 2)])
+            own, rep_, root, n = (t.column(k).to_numpy() for k in (3, 4, 5, 6))
+            sig = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint8).reshape(len(own), -1)
+            start = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(0)))
+            out = []
+            for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(own)]):
+                i, j = np.triu_indices(hi - lo, 1)
+                i, j = i + lo, j + lo
+                ok = (root[i] != root[j]) & (rep_[i] != rep_[j]) & (100 * np.minimum(n[i], n[j]) >= p.percent * np.maximum(n[i], n[j]))
+                if key[1, lo] != key[2, lo]:
+                    ok &= own[i] != own[j]
+                i, j = i[ok], j[ok]
+                live = alive_pairs(sig[i], sig[j], need)
+                out.append(np.stack([rep_[i[live]], rep_[j[live]]]))
+            return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+
+        def emit(t: pa.Table):
+            got = np.unique(np.sort(pairs(t), axis=0), axis=1)
+            if got.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], names=["a", "b"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([*held, b])
+            key = np.stack([t.column(k).to_numpy() for k in (0, 1, 2)])
+            other = np.flatnonzero((key != key[:, -1:]).any(0))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield from emit(t.slice(0, cut))
+            held = t.slice(cut).to_batches()
+        if held:
+            yield from emit(pa.Table.from_batches(held))
+
+    ship(placed.sparkSession)
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, p: MinHashParams, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """Pairs whose full sets are similar enough; each document's text is moved only if some pair needs it."""
     ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
@@ -191,14 +270,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame, p: MinHashParams, broadcast_ids
 
     links = written(map_batches(both, run, "a long, b long").distinct(), "links")
     forget(texts)
+    forget(ids)
     return links
 
 
 def near_duplicates(docs: DataFrame, p: MinHashParams = MinHashParams()) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept, n_links.
+    """One row per row of docs: doc_id, n_shingles, component_id, kept, n_linked.
 
-    A class is held together by its least doc_id: n_links is the number of other
-    documents in the class for that one, 1 for the others, 0 for a document alone.
+    n_linked is the number of other doc_ids in its class, to which links lead.
     """
     base = written(signatures(docs, p), "signatures")
     named = base.filter("doc_id is not null and n > 0")
@@ -220,21 +299,19 @@ def near_duplicates(docs: DataFrame, p: MinHashParams = MinHashParams()) -> Data
     placed = cand.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("band", "rep", "n", F.coalesce("root", "rep").alias("root"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
     placed = written(placed.join(mixed, "band").distinct(), "mixed")
-    x, y = (placed.select("band", *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "n", "root"))) for k in "xy")
-    like = f"root_x < root_y and 100 * least(n_x, n_y) >= {p.percent} * greatest(n_x, n_y)"
-    rest = x.join(y, "band").filter(like).select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
-    second = confirmed(written(plausible(rest, reps, p), "plausible"), docs, p)
+    second = confirmed(written(plausible_within(placed, reps, p), "plausible"), docs, p)
     for t in (cand, placed, reps):
         forget(t)
 
     links = first.union(second).distinct().union(copies)
     found = components(links)
-    degree = found.groupBy("root").agg((F.count("*") - 1).alias("n_links"))
+    for t in (first, second, copies):
+        forget(t)
+    degree = found.groupBy("root").agg((F.count("*") - 1).alias("n_linked"))
     out = base.select("doc_id", F.col("n").alias("n_shingles")).join(found.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id")), "doc_id", "left")
-    out = out.join(degree.select(F.col("root").alias("doc_id"), "n_links"), "doc_id", "left")
-    out = out.withColumn("n_links", F.when(F.col("component_id") != F.col("doc_id"), F.lit(1)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long"))
+    out = out.join(degree.select(F.col("root").alias("component_id"), "n_linked"), "component_id", "left").withColumn("n_linked", F.coalesce("n_linked", F.lit(0)).cast("long"))
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "n_links")
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "n_linked")
 
 
 def keep_distinct(docs: DataFrame, p: MinHashParams = MinHashParams()) -> DataFrame:
@@ -263,4 +340,4 @@ def cte_sql(p: MinHashParams = MinHashParams(), docs: str = "documents", pre: st
 
 
 def oracle() -> str:
-    return f"with recursive {cte_sql().strip()} select *, doc_id = component_id as kept, case when doc_id <> component_id then 1 else count(*) over (partition by component_id) - 1 end as n_links from classes"
+    return f"with recursive {cte_sql().strip()} select *, doc_id = component_id as kept, count(*) over (partition by component_id) - 1 as n_linked from classes"

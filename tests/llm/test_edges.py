@@ -130,6 +130,22 @@ def test_near_duplicates_bridges(spark):
     assert rows(neardup.confirmed(pairs, d, neardup.MinHashParams(), 0), "a", "b") == [(0, 1)] and keep > 0
 
 
+def test_templated_pages(spark):
+    """400 documents that share 60 % of their words, none linked, and a few that are: no bucket emits all its pairs, however it is divided."""
+    r, base = random.Random(9), prose(150, 70).split()
+    texts = [(k, " ".join(base + [f"own{r.randrange(10**9)}" for _ in range(100)])) for k in range(400)]
+    texts += [(1000 + k, texts[7 * k][1] + " more") for k in range(20)]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    comp = {i: 7 * (i - 1000) if i >= 1000 else i for i, _ in texts}
+    for p in (neardup.MinHashParams(), neardup.MinHashParams(block=16, bucket=8)):
+        assert {x.doc_id: x.component_id for x in neardup.near_duplicates(d, p).collect()} == comp
+    sigs = neardup.signatures(d, p).select(neardup.F.col("doc_id").alias("rep"), "n", "bands", "sig")
+    placed = sigs.select(neardup.F.explode("bands").alias("band"), "rep", "n", neardup.F.col("rep").alias("root"))
+    for p in (neardup.MinHashParams(), neardup.MinHashParams(block=16, bucket=8)):
+        pairs = {(x.a, x.b) for x in neardup.plausible_within(placed, sigs, p).collect()}
+        assert {(7 * k, 1000 + k) for k in range(20)} <= pairs and len(pairs) < 420
+
+
 def test_bayes_bounds():
     need = neardup.needed_matches(neardup.MinHashParams())
     assert need[-1][0] == 180 and all(0 <= m < n for n, m in need) and [m for _, m in need] == sorted(m for _, m in need)
