@@ -38,13 +38,31 @@ class QualityRules:
     unpunctuated_words: int = 30
     phrase_words: int = 30
     max_loss: int = 50
-    phrases: tuple[str, ...] = ("all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "click here", "lorem ipsum")
+    phrases: tuple[str, ...] = ("all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "click here", "lorem ipsum",
+        "alle rechte vorbehalten", "nutzungsbedingungen", "hier klicken", "tous droits réservés", "politique de confidentialité", "mentions légales", "cliquez ici", "todos los derechos reservados", "política de privacidad", "términos de uso", "haga clic aquí")
 
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines long, n_bad_lines long, kept_chars long, clean_text string"
 _SYMBOLS, _PUNCT = K.lut(b"#*$%&|<>"), K.lut(b".?!,;:")
 
 
+#: Marks beyond ASCII, as many bytes as they have: ellipsis, ideographic and full-width stops and commas, Arabic comma and question mark.
+WIDE_MARKS = "…。、，！？：；،؛؟"
+
+
+def _wide_marks(b: np.ndarray) -> np.ndarray:
+    """Flags of the bytes where such a mark begins."""
+    out = np.zeros(len(b), bool)
+    if (b >= 128).any():
+        for mark in WIDE_MARKS:
+            raw = mark.encode()
+            at = np.flatnonzero(b[: max(0, len(b) - len(raw) + 1)] == raw[0])
+            for k in range(1, len(raw)):
+                at = at[b[at + k] == raw[k]]
+            out[at] = True
+    return out
+
+
 def _judge(c: K.Chunk, r: QualityRules) -> dict[str, np.ndarray | list]:
     w = c.words(K.SPACE_WORD, lower=False)
     rows = w.rows()
@@ -75,7 +93,7 @@ def _judge(c: K.Chunk, r: QualityRules) -> dict[str, np.ndarray | list]:
     bad |= 100 * sums(c.buf == 33) > r.exclaim_pct * line_words
     long_ = np.flatnonzero(line_words >= r.unpunctuated_words)
     if len(long_):
-        plain = (sums(c.buf >= 128) == 0) & (sums(_PUNCT[c.buf]) == 0)
+        plain = (sums(_PUNCT[c.buf]) == 0) & (sums(_wide_marks(c.buf)) == 0)
         bad[long_] |= plain[long_]
     low = K.LOWER[c.buf].tobytes()
     for phrase in r.phrases:
@@ -159,7 +177,7 @@ def cte_sql(r: QualityRules = QualityRules(), docs: str = "documents", p: str =
   length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) as ns, length(regexp_replace(line, '[^|]', '', 'g')) as np, length(regexp_replace(line, '[^!]', '', 'g')) as nx,
   translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low, row_number() over (partition by rid, line order by k) > 1 as seen from {p}ln),
 {p}lj as (select *, nw > 0 and seen as dup, nw > 0 and (seen or 100 * np >= {r.nav_pct} * nw or ns > nw or 100 * nx > {r.exclaim_pct} * nw
-  or (nw >= {r.unpunctuated_words} and strlen(line) = length(line) and not regexp_matches(line, '[.?!,;:]')) or (nw <= {r.phrase_words} and ({phrases}))) as bad from {p}lm),
+  or (nw >= {r.unpunctuated_words} and not regexp_matches(line, '[.?!,;:{WIDE_MARKS}]')) or (nw <= {r.phrase_words} and ({phrases}))) as bad from {p}lm),
 {p}la as (select rid, sum(nw) as n_words, sum(nc) as word_chars, sum(ns) as n_symbols, count(*) filter (dup) as n_dup_lines, count(*) filter (nw > 0) as n_lines, count(*) filter (bad) as n_bad_lines,
   coalesce(sum(nc) filter (not bad), 0) as kept_chars, string_agg(line, chr(10) order by k) filter (not bad) as clean from {p}lj group by rid),
 {p}lf as (select s.doc_id, s.rid, la.*, coalesce(n_repeat_words, 0) as n_rep, n_words < {r.min_words} or 100 * coalesce(n_repeat_words, 0) > {r.max_repeat_pct} * n_words as base_failed
