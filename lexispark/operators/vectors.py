@@ -20,6 +20,7 @@ from ..shipping import ship
 from .base import query, read
 
 BLOCK = 4096
+TILE = 512  # rows that meet a block of queries at a time
 
 
 def doubles(c: str | Column) -> Column:
@@ -159,20 +160,20 @@ def query_blocks(rows: DataFrame, block: int = BLOCK) -> list[Broadcast]:
     return out + ([sc.broadcast(held)] if held else [])
 
 
-def most_similar(v: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """query, vec_id, sim, rank: the k nearest by cosine; each task keeps its own k for every query."""
+def most_similar(v: DataFrame, queries: DataFrame, k: int = 5, unit: bool = True) -> DataFrame:
+    """query, vec_id, sim, rank: the k nearest by cosine, or by dot product; each tile of rows keeps its own k for every query."""
     ship(v.sparkSession)
     sent = query_blocks(queries.select("vec_id", "v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(at, TILE) for x in batches for at in range(0, x.num_rows, TILE)):
             ids, m = b.column(0).to_numpy(), _matrix(b.column(1))
-            if not len(ids):
-                continue
-            m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+            if unit:
+                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
             for s in sent:
                 q = np.stack([x[1] for x in s.value])
-                q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+                if unit:
+                    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
                 own = np.array([x[0] for x in s.value])
                 sim = np.round(q @ m.T, 6)
                 sim[own[:, None] == ids[None, :]] = -np.inf
@@ -192,62 +193,105 @@ def most_similar_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return most_similar(v, v.filter("vec_id % 20 = 0"))
 
 
+@query("dot_similar", f"with {_V}, s as (select q.vec_id as query, c.vec_id, round(list_dot_product(q.v, c.v), 6) as sim from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0) select query, vec_id, sim, rank from (select *, row_number() over (partition by query order by sim desc, vec_id) as rank from s) where rank <= 5")
+def dot_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five others with the greatest dot product."""
+    v = vectors(spark, sf_dir)
+    return most_similar(v, v.filter("vec_id % 20 = 0"), unit=False)
+
+
 def analogy_queries(v: DataFrame) -> DataFrame:
     """a and its three successors b, x, y for every a divisible by 20: one aggregate, no self-joins."""
     g = v.filter(F.col("vec_id") % 20 < 4).groupBy((F.col("vec_id") - F.col("vec_id") % 20).alias("a")).agg(*(F.max(F.when(F.col("vec_id") % 20 == i, F.col("v"))).alias(n) for i, n in enumerate(("va", "vb", "vx", "vy"))))
     return g.filter("va is not null and vb is not null and vx is not null and vy is not null")
 
 
+def _cosines(x: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return x @ m.T / np.maximum(np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(m, axis=1)[None, :], 1e-300)
+
+
 def _angles(x: np.ndarray, m: np.ndarray) -> np.ndarray:
-    c = x @ m.T / np.maximum(np.linalg.norm(x) * np.linalg.norm(m, axis=1), 1e-300)
-    return 1 - np.arccos(np.clip(c, -1, 1)) / np.pi
+    return 1 - np.arccos(np.clip(_cosines(x, m), -1, 1)) / np.pi
 
 
-def analogies(v: DataFrame, kind: str, digits: int = 6) -> DataFrame:
+def analogies(v: DataFrame, kind: str, digits: int = 6, queries: DataFrame | None = None) -> DataFrame:
     """a, sim (score of the wanted word), rank (1 + better candidates), hit1, hit10, hit20.
 
     add: angle to x + (a - b). mul: product of cosine distances to b and x over
     that to a, as the measure is defined here. Candidates exclude a, b and x.
+    A block of queries is one matrix product with each tile of the rows.
     """
     ship(v.sparkSession)
-    sent = query_blocks(analogy_queries(v))
+    sent = query_blocks(analogy_queries(v) if queries is None else queries)
 
-    def score(q: tuple, m: np.ndarray) -> np.ndarray:
-        _, a, b, x, _ = q
+    def score(a: np.ndarray, b: np.ndarray, x: np.ndarray, m: np.ndarray) -> np.ndarray:
         if kind == "add":
             return _angles(x + (a - b), m)
-        d = lambda u: 1 - u @ m.T / np.maximum(np.linalg.norm(u) * np.linalg.norm(m, axis=1), 1e-300)
-        return d(b) * d(x) / (d(a) + 1e-10)
+        return (1 - _cosines(b, m)) * (1 - _cosines(x, m)) / (1 - _cosines(a, m) + 1e-10)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, m = batch.column(0).to_numpy(), _matrix(batch.column(1))
-            if not len(ids):
-                continue
-            rows = []
-            for s in sent:
-                for q in s.value:
-                    mine = np.round(score(q, q[4][None, :])[0], digits)
-                    ok = ~np.isin(ids, [q[0], q[0] + 1, q[0] + 2])
-                    rows.append((q[0], float(mine), int((np.round(score(q, m), digits)[ok] > mine).sum())))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)] if rows else [pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.int64())], names=["a", "sim", "better"])
+            for at in range(0, batch.num_rows, TILE):
+                part = batch.slice(at, TILE)
+                ids, m = part.column(0).to_numpy(), _matrix(part.column(1))
+                for s in sent:
+                    own = np.array([q[0] for q in s.value])
+                    a, b, x, y = (np.stack([q[k] for q in s.value]) for k in range(1, 5))
+                    mine = np.round(np.array([score(a[i : i + 1], b[i : i + 1], x[i : i + 1], y[i : i + 1])[0, 0] for i in range(len(own))]), digits)
+                    better = np.round(score(a, b, x, m), digits) > mine[:, None]
+                    for k in range(3):
+                        better &= ids[None, :] != own[:, None] + k
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(mine), pa.array(better.sum(1))], names=["a", "sim", "better"])
 
     r = v.select("vec_id", "v").mapInArrow(run, "a long, sim double, better long").groupBy("a", "sim").agg((F.sum("better") + 1).alias("rank"))
     return r.select("a", "sim", "rank", *((F.col("rank") <= k).cast("long").alias(f"hit{k}") for k in (1, 10, 20)))
 
 
-def _analogy_sql(score: str) -> str:
-    return f"""with {_V}, q as (select a.vec_id as a, a.v as va, b.v as vb, x.v as vx, y.vec_id as y from v a join v b on b.vec_id = a.vec_id + 1 join v x on x.vec_id = a.vec_id + 2 join v y on y.vec_id = a.vec_id + 3 where a.vec_id % 20 = 0),
-s as (select a, y, c.vec_id, round({score}, 6) as s from q, v c where c.vec_id not in (a, a + 1, a + 2)), r as (select s.a, w.s as sim, count(*) filter (s.s > w.s) + 1 as rank from s join (select a, s from s where vec_id = y) w using (a) group by s.a, w.s)
+def _analogy_sql(score: str, more: str = "", v: str = "q") -> str:
+    return f"""with {_V}, q as (select a.vec_id as a, a.v as va, b.v as vb, x.v as vx, y.vec_id as y, a.label from v a join v b on b.vec_id = a.vec_id + 1 join v x on x.vec_id = a.vec_id + 2 join v y on y.vec_id = a.vec_id + 3 where a.vec_id % 20 = 0){more},
+s as (select a, y, c.vec_id, round({score}, 6) as s from {v} q, v c where c.vec_id not in (a, a + 1, a + 2)), r as (select s.a, w.s as sim, count(*) filter (s.s > w.s) + 1 as rank from s join (select a, s from s where vec_id = y) w using (a) group by s.a, w.s)
 select a, sim, rank, (rank <= 1)::bigint as hit1, (rank <= 10)::bigint as hit10, (rank <= 20)::bigint as hit20 from r"""
 
 
-@query("analogy_add", _analogy_sql("1 - acos(greatest(-1.0, least(1.0, list_cosine_similarity([z[3] + z[1] - z[2] for z in list_zip(va, vb, vx)], c.v)))) / pi()"))
+_ADD = "1 - acos(greatest(-1.0, least(1.0, list_cosine_similarity([z[3] + z[1] - z[2] for z in list_zip(va, vb, vx)], c.v)))) / pi()"
+_MUL = "(1 - list_cosine_similarity(vb, c.v)) * (1 - list_cosine_similarity(vx, c.v)) / (1 - list_cosine_similarity(va, c.v) + 1e-10)"
+_OFFSET = ", o as (select label, i, avg(va[i] - vb[i]) as o from (select *, unnest(range(1, len(va) + 1)) as i from q) group by all), qo as (select a, list(o order by i) as va, list(0.0 order by i) as vb, any_value(vx) as vx, any_value(y) as y from q join o using (label) group by a)"
+
+
+@query("analogy_avg_ranks", _analogy_sql(_ADD, _OFFSET, "qo"))
+def analogy_avg_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks of y beside x plus the mean of a - b over the label's analogies."""
+    v = vectors(spark, sf_dir)
+    q = analogy_queries(v).join(v.select(F.col("vec_id").alias("a"), "label"), "a")
+    o = q.select("label", F.posexplode(F.zip_with("va", "vb", lambda x, y: x - y)).alias("i", "d")).groupBy("label", "i").agg(F.avg("d").alias("d"))
+    o = o.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "d"))), lambda s: s["d"]).alias("o"))
+    return analogies(v, "add", queries=q.join(o, "label").select("a", F.col("o").alias("va"), F.transform("o", lambda x: F.lit(0.0)).alias("vb"), "vx", "vy"))
+
+
+@query("analogy_blocks", f"select label, kind, k, count(*) as n, round(avg(hit), 6) as score from (select label, kind, unnest([1, 10, 20]) as k, unnest([hit1, hit10, hit20]) as hit from (select 'add' as kind, * from ({_analogy_sql(_ADD)}) union all select 'mul', * from ({_analogy_sql(_MUL)})) join embeddings on vec_id = a) group by label, kind, k")
+def analogy_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of analogies (the label of a): mean hit by measure at 1, 10 and 20."""
+    v = vectors(spark, sf_dir)
+    each = [analogies(v, kind).withColumn("kind", F.lit(kind)) for kind in ("add", "mul")]
+    hits = each[0].union(each[1]).join(v.select(F.col("vec_id").alias("a"), "label"), "a")
+    rows = hits.select("label", "kind", F.inline(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"hit{k}").alias("hit")) for k in (1, 10, 20)))))
+    return rows.groupBy("label", "kind", "k").agg(F.count("*").alias("n"), F.round(F.avg("hit"), 6).alias("score"))
+
+
+@query("relation_diffs", f"with {_V}, q as (select a.vec_id as a, [z[1] - z[2] for z in list_zip(b.v, a.v)] as d1, [z[1] - z[2] for z in list_zip(y.v, x.v)] as d2 from v a join v b on b.vec_id = a.vec_id + 1 join v x on x.vec_id = a.vec_id + 2 join v y on y.vec_id = a.vec_id + 3 where a.vec_id % 20 = 0) select a, round(sqrt(list_dot_product(d1, d1)), 5) as n1, round(sqrt(list_dot_product(d2, d2)), 5) as n2, round(list_distance(d1, d2), 5) as apart, round(list_cosine_similarity(d1, d2), 6) as cos from q")
+def relation_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences of the vectors of two pairs of words: their lengths, their distance and their cosine."""
+    minus = lambda x, y: F.zip_with(x, y, lambda a, b: a - b)
+    q = analogy_queries(vectors(spark, sf_dir)).select("a", minus("vb", "va").alias("d1"), minus("vy", "vx").alias("d2"))
+    return q.select("a", F.round(norm(F.col("d1")), 5).alias("n1"), F.round(norm(F.col("d2")), 5).alias("n2"), F.round(norm(minus("d1", "d2")), 5).alias("apart"), F.round(cosine(F.col("d1"), F.col("d2")), 6).alias("cos"))
+
+
+@query("analogy_add", _analogy_sql(_ADD))
 def analogy_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analogies(vectors(spark, sf_dir), "add")
 
 
-@query("analogy_mul", _analogy_sql("(1 - list_cosine_similarity(vb, c.v)) * (1 - list_cosine_similarity(vx, c.v)) / (1 - list_cosine_similarity(va, c.v) + 1e-10)"))
+@query("analogy_mul", _analogy_sql(_MUL))
 def analogy_mul(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analogies(vectors(spark, sf_dir), "mul")
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import base, counts, decode, models, segment, tagging, tokens, vectors  # noqa: F401  modules register their queries
+from ..operators import base, counts, decode, models, pieces, segment, tagging, tokens, vectors  # noqa: F401  modules register their queries
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
