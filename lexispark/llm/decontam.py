@@ -171,7 +171,7 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block
     """One row per row of docs: words, words hit, items found, whether contaminated, and the longest verbatim match.
 
     Of longest matches the first in the document counts, of its items the least
-    id as a string, then the first place; without a match its length is 0 and the rest null.
+    id as a string, then the first place; without a match its length is 0, its item the empty string and its places -1.
     """
     sent = blocks(bench, window, block_words)
 
@@ -182,7 +182,7 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block
                 [
                     b.column(0).slice(c.first, c.n), pa.array(w.count, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()),
                     pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]), pa.array(hit > 0),
-                    *(pa.array([(-x[k] if k == 0 else x[k]) if x else (0 if k == 0 else None) for x in best], t) for k, t in ((0, pa.int64()), (2, pa.string()), (1, pa.int64()), (3, pa.int64()))),
+                    *(pa.array([(-x[k] if k == 0 else x[k]) if x else none for x in best], t) for k, t, none in ((0, pa.int64(), 0), (2, pa.string(), ""), (1, pa.int64(), -1), (3, pa.int64(), -1))),
                 ],
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *LONGEST],
             )
@@ -235,7 +235,7 @@ def cte_sql(docs: str = "documents", p: str = "", window: int = WINDOW) -> str:
 {p}cr as (select rid, item, i, j, n, i - row_number() over (partition by rid, rb, i - j order by i) as island, rb from {p}cg join {p}cp using (n, win)),
 {p}cl as (select rid, item, min(i) - 1 as di, min(j) - 1 as dj, count(*) + max(n) - 1 as k from {p}cr group by rid, rb, item, i - j, island),
 {p}cx as (select rid, k as longest_match, item as longest_item, di as longest_doc_word, dj as longest_item_word from (select *, row_number() over (partition by rid order by k desc, di, item, dj) as r from {p}cl) where r = 1),
-{p}hits as (select rid, doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(longest_match, 0) as longest_match, longest_item, longest_doc_word, longest_item_word
+{p}hits as (select rid, doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(longest_match, 0) as longest_match, coalesce(longest_item, '') as longest_item, coalesce(longest_doc_word, -1) as longest_doc_word, coalesce(longest_item_word, -1) as longest_item_word
   from {p}cd left join {p}ch using (rid) left join {p}ci using (rid) left join {p}cx using (rid))"""
 
 

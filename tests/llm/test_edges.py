@@ -185,7 +185,7 @@ def longest(text, window=10):
                 if k >= min(window, len(y)):
                     found.append((-k, i, "" if item is None else str(item), j))
     if not found:
-        return [0, None, None, None]
+        return [0, "", -1, -1]
     k, i, item, j = min(found)
     return [-k, item, i, j]
 
