@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from lexispark.operators import counts, decode, models, segment, tagging, vectors
+from lexispark.operators import counts, decode, models, pieces, segment, tagging, vectors
 
 SPANS = [("w1", 100, 200), ("w2", 150, 165), ("w3", 100, 190), ("w4", 170, 225), ("w5", 190, 220), ("w6", 75, 125)]
 
@@ -133,6 +133,23 @@ def test_ranked_candidates(spark, small):
     assert [r.rank for r in got] == list(range(1, len(got) + 1)) and [r.likelihood for r in got] == sorted((r.likelihood for r in got), reverse=True)
 
 
+def test_split_variants(spark, small):
+    """Against all ways to cut a token into pieces of which each but the last is known."""
+    count = collections.Counter(t for d in small[1] for line in d for t in line.split())
+    lex = {t: n for t, n in count.items() if n >= 20 and 2 <= len(t) <= 7}
+    lex = {t: n / sum(lex.values()) for t, n in lex.items()}
+    got = {r.tok: r for r in pieces.split_variants(spark, small[0]).collect()}
+    assert set(got) == set(count)
+    for t, r in got.items():
+        cuts = [c for n in range(len(t)) for c in itertools.combinations(range(1, len(t)), n)]
+        every = [tuple(t[i:j] for i, j in zip((0, *c), (*c, len(t)))) for c in cuts]
+        every = [p for p in every if all(x in lex for x in p[:-1]) and (p[-1] in lex or len(p) > 1)] or [(t,)]
+        like = lambda p: sum(math.log1p(lex[x]) for x in p if x in lex)
+        assert r.per_piece == "#".join(min(every, key=lambda p: (-round(like(p) / len(p), 12), "#".join(p))))
+        assert r.entropy == "#".join(min(every, key=lambda p: (-round(like(p) * (sum(x in lex for x in p) + 1) / len(p), 12), "#".join(p))))
+        assert r.suffix.replace("#", "") == t and r.partition in {"#".join(p) for p in every} and set(r.sampled.split(" ")) <= {"#".join(p) for p in every}
+
+
 def test_viterbi_is_best_path(spark):
     obs = spark.createDataFrame([(s, p, "xyz"[(s * p + s) % 3], "AB"[(s + p) % 2 if s % 3 else 0]) for s in range(12) for p in range(5)], "seq long, pos long, sym string, label string")
     e, t = tagging.smoothed(tagging.hmm_emissions(obs), "label"), tagging.smoothed(tagging.hmm_transitions(obs), "l1")
