@@ -422,4 +422,35 @@ def test_pipeline_stages(spark, docs, none, bench, tmp_path):
             d.write.parquet(f"{at}/{name.replace(' ', '-')}")
             d = spark.read.parquet(f"{at}/{name.replace(' ', '-')}")
             assert d.count() <= before and (name == "sharding" or d.columns == table.columns)
-        assert corpus_pipeline.run(spark, str(at)).count() == d.count()
+
+
+def test_pipeline_rows(spark, bench, tmp_path):
+    """run()'s rows: what SQL keeps after each stage but the last, and for that the least capacity and gapless slots."""
+    import duckdb
+
+    texts = {i: t for i, t in TEXTS if i is not None}
+    texts |= {100 + k: prose(60 + k, 2000 + k) + (f"\nAll rights reserved {k}" if k % 3 else "") for k in range(60)}
+    texts |= {200 + k: texts[100 + 2 * k].replace(VOCAB[k], "qq") for k in range(20)} | {300 + k: prose(30, k) + " " + prose(25, 40) for k in range(5)}
+    spark.createDataFrame([(i, t, "en" if i % 3 else None, ("hot", "cold", None)[i % 3], len(t or "")) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    c.execute(f"create table q as with {quality.cte_sql().strip()} select d.doc_id, j.clean_text as text, lang, source from judged j join documents d using (doc_id) where kept")
+    c.execute(f"create table n as with recursive {neardup.cte_sql(docs='q').strip()} select q.* from q join classes using (doc_id) where doc_id = component_id")
+    c.execute(f"create table u as with {decontam.cte_sql(docs='n').strip()} select n.* from n join hits using (doc_id) where not contaminated")
+    c.execute(f"create table m as with recursive {mixing.cte_sql(docs='u').strip()} select u.* from u join mixed using (doc_id) where sampled")
+    counts = [c.execute(f"select count(*) from {t}").fetchall()[0][0] for t in ("documents", "q", "n", "u", "m")]
+    assert counts == sorted(counts, reverse=True) and len(set(counts)) == 5 and counts[-1] > 10
+    left = c.execute("select doc_id, text from m order by doc_id").fetchall()
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in got) == [(i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in left]
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.shard].append(r)
+    groups = collections.defaultdict(int)
+    for _, t in left:
+        groups[t] += len((t or "").encode()) + 16
+    assert max(sum(x.size for x in v) for v in by.values()) == capacity(list(groups.values()), 40)
+    assert all(sorted(x.slot for x in v) == list(range(len(v))) for v in by.values()) and {r.law for r in got} == {"bytes"}
