@@ -4,6 +4,12 @@ Each stage takes all rows that the one before kept and returns the columns of
 documents; the last returns one row per document with its shard and slot.
 Decisions take effect: rejected, copied, contaminated and unsampled documents
 are gone, and lines that fail the quality rules are cut from the texts.
+
+Defined results: a null or empty text has too few words and is rejected; rows
+that share a doc_id stay or go by their own text in every stage but near-dedup, which
+keeps or drops a doc_id as a whole; a null doc_id is no copy of another; of tied
+copies the least doc_id stays; an empty table gives an empty table; other columns
+pass through to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,7 +46,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", clean), ("near-dedup", dedup), ("decontamination", decontaminate), ("mixing", mix), ("sharding", shard)]
 
-#: Minimax cuts need a binary search over greedy walks; tests compare run() with a brute-force version.
+#: Minimax cuts need a binary search over greedy walks; tests compare run() with the SQL of the other stages and a brute-force capacity.
 ORACLE_SQL = None
 
 
