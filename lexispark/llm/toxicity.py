@@ -17,7 +17,7 @@ letter until no term is within reach. Each distinct word of a chunk is walked
 once. A hit inside quotation marks that open and close within
 ``context_words`` words counts as quoted; a logistic model over plain hits
 (a misspelled one counts less), their density and quoted hits, fitted on the
-same sample, gives the score. Labels, language, source and doc_id are not inputs of a score.
+same sample and centred where its balanced accuracy is best, gives the score. Labels, language, source and doc_id are not inputs of a score.
 
 One streamed pass over all documents, without a shuffle.
 
@@ -317,6 +317,18 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
         free &= w[:-1] >= 0
 
 
+def centred(w: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights whose intercept puts the score 0.5 where the sample's balanced accuracy is best, in the middle of a gap; toxic rows are rare."""
+    z = x @ w[:-1]
+    at = np.unique(z)
+    if len(at) < 2 or not (y < 1).any():
+        return w
+    cuts = (at[1:] + at[:-1]) / 2
+    below = lambda v: np.searchsorted(np.sort(v), cuts)
+    good = below(z[y < 1]) / (y < 1).sum() - below(z[y == 1]) / y.sum()
+    return np.append(w[:-1], -cuts[int(np.argmax(good))])
+
+
 def _newton(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
     x = np.hstack([x, np.ones((len(x), 1))])
     w, penalty = np.zeros(x.shape[1]), np.append(np.full(x.shape[1] - 1, ridge), 1e-6)
@@ -350,7 +362,8 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()
     y = np.array([float(r.toxic == 1) for r in rows])
     if not y.any():
         return ToxicityModel(lexicon, np.array([0.0] * 3 + [-30.0]), p)
-    return ToxicityModel(lexicon, fit_logistic(np.array([r.x for r in rows]), y, p.ridge), p)
+    x = np.array([r.x for r in rows])
+    return ToxicityModel(lexicon, centred(fit_logistic(x, y, p.ridge), x, y), p)
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
