@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .models import load, save
 
 EVALUATION = "intrinsic array<struct<label: string, classifier: string, semeval: string, texts: array<string>, text: array<string>, textA: string, targets: array<string>, filename: string, morphemes: array<string>>>"
 
@@ -16,9 +17,12 @@ def corpus(spark: SparkSession, path: str, shortest: int = 0, longest: int = 1 <
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line_no, value. A file is read by one task here, since splits carry no line numbers."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
-    return whole
+    """file, line_no, value. Splits are read apart: a line's number is its place in its split and the lines of the file's earlier ones."""
+    d = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("id"))
+    d = load(save(d, "lines"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    splits = d.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))  # a row a split
+    return d.join(splits, ["file", "block"]).select("file", (F.col("before") + F.col("id") - F.col("first")).alias("line_no"), "value")
 
 
 def embeddings_text(spark: SparkSession, path: str, vocabulary: DataFrame | None = None) -> DataFrame:
@@ -27,13 +31,13 @@ def embeddings_text(spark: SparkSession, path: str, vocabulary: DataFrame | None
     With a vocabulary (column word), only its words are kept; of repeated words the last in order stays.
     """
     fields = F.filter(F.split("value", r"[\x09\x20]+"), lambda x: x != "")
-    d = spark.read.text(path).select(fields.alias("f")).filter(F.size("f") > 2)
+    d = spark.read.text(path).select(fields.alias("f"), F.monotonically_increasing_id().alias("at")).filter(F.size("f") > 2)
     first = F.array_position(F.transform("f", lambda x: x.rlike(r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$")), True).cast("int")
     d = d.withColumn("k", first).filter("k > 1")
-    d = d.select(F.array_join(F.slice("f", 1, F.col("k") - 1), " ").alias("word"), F.transform(F.slice("f", F.col("k"), F.size("f")), lambda x: x.cast("double")).alias("vec"))
+    d = d.select(F.array_join(F.slice("f", 1, F.col("k") - 1), " ").alias("word"), F.transform(F.slice("f", F.col("k"), F.size("f")), lambda x: x.cast("double")).alias("vec"), "at")
     if vocabulary is not None:
         d = d.withColumn("word", F.lower("word")).join(vocabulary.select("word").distinct(), "word", "left_semi")
-    return d
+    return d.groupBy("word").agg(F.max_by("vec", "at").alias("vec"))
 
 
 def evaluation_blocks(spark: SparkSession, path: str) -> DataFrame:
