@@ -133,3 +133,22 @@ def morphology(spark: SparkSession, path: str) -> DataFrame:
     d = numbered_lines(spark, path).select("file", F.col("line_no").alias("sent"), F.posexplode(X.blank_tokens(F.col("value"))).alias("pos", "t"))
     p = F.transform(F.split("t", r"\|"), lambda x: F.split(x, ":"))
     return d.select("file", "sent", "pos", F.transform(p, lambda x: x[0]).alias("ins"), F.transform(p, lambda x: F.get(x, F.lit(1))).alias("outs"))
+
+
+def csv_folder(spark: SparkSession, path: str) -> DataFrame:
+    """text: the last quoted field of every line of a folder's files, headers left out."""
+    d = numbered_lines(spark, path).filter("line_no > 0")
+    last = F.element_at(F.split("value", '","'), -1)
+    return d.select(F.regexp_replace(last, '"$', "").alias("text"))
+
+
+def word_pairs(spark: SparkSession, name: str, words: list[str], dictionary: DataFrame) -> DataFrame:
+    """name, src, dst, src_vec, dst_vec: a literal list taken two by two, the pairs of which the dictionary (word, v) knows both."""
+    d = spark.createDataFrame([(name, a, b) for a, b in zip(words[::2], words[1::2])], "name string, src string, dst string")
+    vec = lambda k: dictionary.select(F.col("word").alias(k), F.col("v").alias(f"{k}_vec"))
+    return d.join(vec("src"), "src").join(vec("dst"), "dst").select("name", "src", "dst", "src_vec", "dst_vec")
+
+
+def word_collection(spark: SparkSession, name: str, words: list[str], dictionary: DataFrame) -> DataFrame:
+    """name, word, v: the words of a literal list that the dictionary knows."""
+    return spark.createDataFrame([(name, w) for w in words], "name string, word string").join(dictionary.select("word", "v"), "word").select("name", "word", "v")

@@ -81,3 +81,19 @@ def test_readers(spark, tmp_path):
     assert [r.text for r in readers.corpus(spark, str(tmp_path / "vo")).collect()] == ["cd"]
     writers.write_report(spark.createDataFrame([("c", 1)], "classifier string, n int"), str(tmp_path / "xml"))
     assert spark.read.format("xml").option("rowTag", "RESULT").load(str(tmp_path / "xml")).first().n == 1
+
+
+def test_folders_literals_and_dumps(spark, tmp_path):
+    (tmp_path / "tud").mkdir()
+    (tmp_path / "tud" / "a.csv").write_text('"id","s"\n"1","One, two"\n"2","x"\n')
+    (tmp_path / "tud" / "b.csv").write_text('"id","s"\n"3","y"\n')
+    assert sorted(r.text for r in readers.csv_folder(spark, str(tmp_path / "tud")).collect()) == ["One, two", "x", "y"]
+    d = spark.createDataFrame([("a", [1.0]), ("b", [2.0]), ("c", [3.0])], "word string, v array<double>")
+    assert [(r.src, r.dst, r.dst_vec) for r in readers.word_pairs(spark, "is_a", ["a", "b", "c", "z"], d).collect()] == [("a", "b", [2.0])]
+    assert sorted(r.word for r in readers.word_collection(spark, "all", ["a", "c", "q"], d).collect()) == ["a", "c"]
+    writers.write_words(d.union(d), str(tmp_path / "words"))
+    writers.concatenate(spark, [str(tmp_path / "words"), str(tmp_path / "tud")], str(tmp_path / "both"))
+    assert readers.corpus(spark, str(tmp_path / "words")).count() == 3 and readers.corpus(spark, str(tmp_path / "both")).count() == 8
+    writers.write_parameters(spark, {"MODEL": {"EPOCHS": 3, "RATE": 0.1}, "STATISTICS": {"OOV": 2}}, str(tmp_path / "params"))
+    got = {r._LABEL: {p._LABEL: p._VALUE for p in r.PARAM} for r in spark.read.format("xml").option("rowTag", "GROUP").schema("_LABEL string, PARAM array<struct<_LABEL: string, _VALUE: string>>").load(str(tmp_path / "params")).collect()}
+    assert got == {"MODEL": {"EPOCHS": "3", "RATE": "0.1"}, "STATISTICS": {"OOV": "2"}}
