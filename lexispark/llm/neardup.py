@@ -44,6 +44,8 @@ from .graph import components
 
 #: At most so many ids of documents in candidate pairs are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
+#: About so many documents of candidate pairs make a group; their sets meet in tiles of two groups.
+TILE = 1024
 
 
 @dataclass(frozen=True)
@@ -172,6 +174,65 @@ def plausible(pairs: DataFrame, sigs: DataFrame, p: MinHashParams) -> DataFrame:
     return map_batches(both, run, "a long, b long")
 
 
+#: Pairs that are held at once.
+PAIRS = 1 << 16
+_LOW, _HIGH = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
+
+
+def first_words(sig: np.ndarray, size: int) -> np.ndarray:
+    """The first bytes of signatures as 64-bit words, one row a word; the last word is filled with zeros."""
+    out = np.zeros((len(sig), -(-size // 8) * 8), np.uint8)
+    out[:, :size] = sig[:, :size]
+    return np.ascontiguousarray(out.view(np.uint64).T)
+
+
+def equal_bytes(words: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Equal bytes of rows i and j of first_words(); fillers count."""
+    same = np.full(len(i), 8 * len(words), np.int16)
+    for w in words:
+        z = w[i] ^ w[j]
+        same -= np.bitwise_count((((z & _LOW) + _LOW) | z) & _HIGH)
+    return same
+
+
+def pairs_within(band: np.ndarray, x: np.ndarray, y: np.ndarray, own: np.ndarray, rep: np.ndarray, root: np.ndarray, n: np.ndarray, sig: np.ndarray, need: list[tuple[int, int]], percent: int) -> np.ndarray:
+    """Pairs (a < b) of rows with the same (band, x, y), sorted by these and own, that have different roots and that no batch rules out.
+
+    Rows of two blocks x and y meet across them only. All groups are gone through at once, ``PAIRS`` pairs at a time, so
+    neither small groups nor large ones cost more than their pairs.
+    """
+    rows = len(band)
+    start = np.flatnonzero(np.append(True, (band[1:] != band[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+    sizes = np.diff(np.append(start, rows))
+    lo, hi = np.arange(1, rows + 1), np.repeat(start + sizes, sizes)
+    cross = x != y
+    if cross.any():
+        left = np.add.reduceat((own == x).astype(np.int64), start)
+        lo = np.where(cross, np.where(own == x, np.repeat(start + left, sizes), hi), lo)
+    count = hi - lo
+    ends = np.cumsum(count)
+    size, least = need[0]
+    words = first_words(sig, size)
+    least += 8 * len(words) - size
+    out = []
+    for at in range(0, int(ends[-1]) if rows else 0, PAIRS):
+        k = np.arange(at, min(at + PAIRS, int(ends[-1])))
+        u, v = (int(np.searchsorted(ends, e, "right")) for e in (k[0], k[-1]))
+        part = np.minimum(ends[u : v + 1], k[-1] + 1) - np.maximum(ends[u : v + 1] - count[u : v + 1], at)
+        i = np.repeat(np.arange(u, v + 1), part)
+        j = k - (ends - count)[i] + lo[i]
+        ok = np.flatnonzero(root[i] != root[j])
+        i, j = i[ok], j[ok]
+        ok = np.flatnonzero(equal_bytes(words, i, j) >= least)
+        i, j = i[ok], j[ok]
+        ok = np.flatnonzero((rep[i] != rep[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])))
+        i, j = i[ok], j[ok]
+        live = alive_pairs(sig[i], sig[j], need)
+        if len(live):
+            out.append(np.stack([rep[i[live]], rep[j[live]]]))
+    return np.unique(np.sort(np.concatenate(out, axis=1), axis=0), axis=1) if out else np.zeros((2, 0), np.int64)
+
+
 def plausible_within(placed: DataFrame, reps: DataFrame, p: MinHashParams) -> DataFrame:
     """Pairs (a, b) of members (band, rep, n, root) of a bucket that lie in different components and that no batch rules out."""
     need, found = needed_matches(p), []
@@ -194,30 +255,14 @@ def plausible_within(placed: DataFrame, reps: DataFrame, p: MinHashParams) -> Da
     rows = rows.select("band", "rep", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     rows = rows.select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "root").distinct()
     rows = rows.join(reps.select("rep", "n", "sig"), "rep").select("band", "x", "y", "own", "rep", "root", "n", "sig")
-    rows = rows.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y", "rep")
+    rows = rows.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y", "own", "rep")
 
     def run(batches):
         held: list[pa.RecordBatch] = []
 
-        def pairs(t: pa.Table) -> np.ndarray:
-            key = np.stack([t.column(k).to_numpy() for k in (0, 1, 2)])
-            own, rep_, root, n = (t.column(k).to_numpy() for k in (3, 4, 5, 6))
-            sig = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint8).reshape(len(own), -1)
-            start = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(0)))
-            out = []
-            for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(own)]):
-                i, j = np.triu_indices(hi - lo, 1)
-                i, j = i + lo, j + lo
-                ok = (root[i] != root[j]) & (rep_[i] != rep_[j]) & (100 * np.minimum(n[i], n[j]) >= p.percent * np.maximum(n[i], n[j]))
-                if key[1, lo] != key[2, lo]:
-                    ok &= own[i] != own[j]
-                i, j = i[ok], j[ok]
-                live = alive_pairs(sig[i], sig[j], need)
-                out.append(np.stack([rep_[i[live]], rep_[j[live]]]))
-            return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-
         def emit(t: pa.Table):
-            got = np.unique(np.sort(pairs(t), axis=0), axis=1)
+            sig = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint8).reshape(t.num_rows, -1)
+            got = pairs_within(*(t.column(k).to_numpy() for k in range(7)), sig, need, p.percent)
             if got.shape[1]:
                 yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], names=["a", "b"])
 
@@ -238,38 +283,54 @@ def plausible_within(placed: DataFrame, reps: DataFrame, p: MinHashParams) -> Da
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, p: MinHashParams, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
-    """Pairs whose full sets are similar enough; each document's text is moved only if some pair needs it."""
+def confirmed(pairs: DataFrame, docs: DataFrame, p: MinHashParams, broadcast_ids: int = BROADCAST_IDS, tile: int = TILE) -> DataFrame:
+    """Pairs whose full sets are similar enough; each document's set is made once, only if some pair needs it."""
     ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
     d = doc_texts(docs)
     if ids.count() <= broadcast_ids:  # the others' texts aren't shuffled
         d = d.join(F.broadcast(ids), "doc_id", "left_semi")
     else:
         d = d.join(ids, "doc_id", "left_semi")
-    texts = written(d, "texts")
-    left, right = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
 
-    def run(b: pa.RecordBatch):
-        sets: list[list[np.ndarray]] = [[], []]
-        for k in (0, 1):
-            for c in K.chunks(b.column(2 + k)):
-                keys, offs = shingle_sets(c)
-                sets[k] += [keys[offs[i] : offs[i + 1]] for i in range(c.n)]
-        keep = []
-        for i, (x, y) in enumerate(zip(*sets)):
-            small, large = (x, y) if len(x) <= len(y) else (y, x)
-            if not len(small) or 100 * len(small) < p.percent * len(large):
-                continue
-            at = np.searchsorted(large, small)
-            at[at == len(large)] = 0
-            common = int((large[at] == small).sum())
-            if 100 * common >= p.percent * (len(x) + len(y) - common):
-                keep.append(i)
-        yield b.select([0, 1]).take(pa.array(keep, pa.int64()))
-
-    links = written(map_batches(both, run, "a long, b long").distinct(), "links")
-    forget(texts)
+    def sets(b: pa.RecordBatch):
+        for c in K.chunks(b.column(1)):
+            keys, offs = shingle_sets(c)
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(c.first, c.n), pa.array([keys[offs[i] : offs[i + 1]].tobytes() for i in range(c.n)], pa.binary())], names=["doc_id", "set"])
+
+    # A pair belongs to the tile of its documents' groups, and a document's set goes to each of its tiles once, however many pairs it has there.
+    found = written(map_batches(d, sets, "doc_id long, set binary"), "sets")
+    groups = max(1, -(-ids.count() // tile))
+    tiled = pairs.select(*(F.pmod(F.xxhash64(k), F.lit(groups)).cast("int").alias(f"g{k}") for k in "ab"), "a", "b")
+    members = tiled.select("ga", "gb", F.col("a").alias("doc_id")).union(tiled.select("ga", "gb", "b")).distinct().join(found, "doc_id")
+    rows = members.select("ga", "gb", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "set").union(tiled.select("ga", "gb", "a", "b", F.lit(None).cast("binary")))
+    rows = rows.repartition("ga", "gb").sortWithinPartitions("ga", "gb", F.col("b").asc_nulls_first(), "a")
+
+    def similar(x: np.ndarray, y: np.ndarray) -> bool:
+        small, large = (x, y) if len(x) <= len(y) else (y, x)
+        if not len(small) or 100 * len(small) < p.percent * len(large):
+            return False
+        at = np.searchsorted(large, small)
+        at[at == len(large)] = 0
+        common = int((large[at] == small).sum())
+        return 100 * common >= p.percent * (len(x) + len(y) - common)
+
+    def run(batches):
+        at, held = None, {}
+        for b in batches:
+            keep = []
+            for i, (ga, gb, x, y, s) in enumerate(zip(*(b.column(k).to_pylist() for k in range(5)))):
+                if at != (ga, gb):
+                    at, held = (ga, gb), {}
+                if y is None:
+                    held.setdefault(x, []).append(np.frombuffer(s, np.uint64))
+                elif any(similar(u, v) for u in held.get(x, ()) for v in held.get(y, ())):
+                    keep.append(i)
+            if keep:
+                yield b.select([2, 3]).take(pa.array(keep, pa.int64()))
+
+    ship(docs.sparkSession)
+    links = written(rows.mapInArrow(run, "a long, b long").distinct(), "links")
+    forget(found)
     forget(ids)
     return links
 

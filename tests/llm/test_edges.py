@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -146,6 +148,54 @@ def test_templated_pages(spark):
         assert {(7 * k, 1000 + k) for k in range(20)} <= pairs and len(pairs) < 420
 
 
+def test_pairs_within_buckets():
+    """Groups of all sizes, whole or in two blocks, against every pair on its own; a large bucket takes far less than pair by pair before."""
+    g, need = np.random.default_rng(5), neardup.needed_matches(neardup.MinHashParams())
+    base = g.integers(0, 256, (40, 180)).astype(np.uint8)
+
+    def rows_of(band, x, y, m):
+        sig = base[g.integers(0, 40, m)]
+        noise = g.random(sig.shape) < g.choice([0.05, 0.2, 0.35, 0.9], (m, 1))
+        own = np.sort(g.choice([x, y], m))
+        return [np.full(m, band), np.full(m, x), np.full(m, y), own, g.integers(0, 500, m), g.integers(0, 50, m), g.integers(60, 100, m)], np.where(noise, g.integers(0, 256, sig.shape), sig).astype(np.uint8)
+
+    made = [rows_of(k, k % 3, k % 3 + k % 2, m) for k, m in enumerate([1, 2, 3, 1, 90, 2, 5, 120, 1, 400])]
+    cols, sig = [np.concatenate(c) for c in zip(*(m[0] for m in made))], np.concatenate([m[1] for m in made])
+    band, x, y, own, rep, root, n = cols
+    want = set()
+    for i, j in itertools.combinations(range(len(band)), 2):
+        if band[i] == band[j] and (x[i] == y[i] or own[i] != own[j]) and root[i] != root[j] and rep[i] != rep[j] and 100 * min(n[i], n[j]) >= 80 * max(n[i], n[j]):
+            if len(neardup.alive_pairs(sig[i : i + 1], sig[j : j + 1], need)):
+                want.add((min(rep[i], rep[j]), max(rep[i], rep[j])))
+    got = neardup.pairs_within(*cols, sig, need, 80)
+    assert want and {*zip(*got.tolist())} == want and got.shape[1] == len(want)
+    assert neardup.pairs_within(*(c[:0] for c in cols), sig[:0], need, 80).shape == (2, 0)
+    m = 1500
+    sig, one, ids = g.integers(0, 256, (m, 180)).astype(np.uint8), np.zeros(m, np.int64), np.arange(m)
+    t0 = time.thread_time()
+    i, j = np.triu_indices(m, 1)
+    neardup.alive_pairs(sig[i], sig[j], need)
+    t1 = time.thread_time()
+    neardup.pairs_within(one, one, one, one, ids, ids, one + 90, sig, need, 80)
+    assert time.thread_time() - t1 < (t1 - t0) / 2
+
+
+def test_confirmed_in_tiles(spark):
+    """Every pair of 60 documents, in one tile and in many of few documents."""
+    base = prose(120, 71).split()
+    texts = [(k, " ".join(base[: 60 + k] + [f"own{k}x{j}" for j in range(k % 7 * 6)])) for k in range(60)] + [(3, " ".join(base[:70]))]
+    d = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    ids = list(itertools.combinations(range(60), 2))
+    pairs = spark.createDataFrame(ids, "a long, b long")
+    of = collections.defaultdict(list)
+    for i, t in texts:
+        of[i].append(shingles(t))
+    want = sorted(((a, b) for a, b in ids if any(100 * len(x & y) >= 80 * len(x | y) for x in of[a] for y in of[b])), key=repr)
+    assert 100 < len(want) < len(ids)
+    for tile in (1, 7, neardup.TILE):
+        assert rows(neardup.confirmed(pairs, d, neardup.MinHashParams(), tile=tile), "a", "b") == want
+
+
 def test_bayes_bounds():
     need = neardup.needed_matches(neardup.MinHashParams())
     assert need[-1][0] == 180 and all(0 <= m < n for n, m in need) and [m for _, m in need] == sorted(m for _, m in need)
