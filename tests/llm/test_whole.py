@@ -30,6 +30,23 @@ def test_passage_whose_seeds_stand_in_other_documents(spark):
         assert got[i].class_id == (i - 3 if i % 10 == 6 else i)
 
 
+def test_passage_of_which_every_seed_is_hot(spark):
+    """Every part of the fuzzy passages stands in 40 other documents, too, each in words of its own: no partner is near in order of context."""
+    rows = []
+    for t in range(8):
+        parts = [words(11, f"p{t},{k}") for k in range(6)]
+        for side in range(2):
+            body = [w for k, part in enumerate(parts) for w in [*part, f"own{t}x{side}x{k}"]]
+            rows.append((1000 * t + 500 * side, words(40, f"l{t},{side}") + body + words(40, f"r{t},{side}")))
+        for k in range(40):
+            body = [w for j, part in enumerate(parts) for w in [*part, *words(30, f"f{t},{k},{j}")]]
+            rows.append((1000 * t + 1 + 20 * k, body))
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    for p in (passages.PassageParams(), passages.PassageParams(block=7)):
+        found = {(r.a, r.b) for r in passages.fuzzy_passages(d, p).collect()}
+        assert found == {(1000 * t, 1000 * t + 500) for t in range(8)}
+
+
 def test_token_splits_use_the_whole_lexicon(spark, tmp_path):
     """More than 50,000 lexicon words, all equally frequent: the last ones count too, and shares are taken over all."""
     lex = ["".join(w) for w in itertools.islice(itertools.product("bcdfghjklmnpqrst", repeat=4), 50_100)]
