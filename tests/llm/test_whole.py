@@ -4,6 +4,8 @@ import itertools
 import math
 import random
 
+import numpy as np
+
 from lexispark.llm import passages
 from lexispark.operators import segment
 
@@ -47,6 +49,41 @@ def test_passage_of_which_every_seed_is_hot(spark):
         assert found == {(1000 * t, 1000 * t + 500) for t in range(8)}
 
 
+def test_texts_that_share_a_line_alone_are_not_aligned(spark, monkeypatch):
+    r = random.Random(8)
+    some = ["".join(r.choices("abcdefghijklmnop", k=7)) for _ in range(150)]
+    line = words(12, 81)
+    texts = [" ".join([*r.choices(some, k=70), *line, *r.choices(some, k=70)]) for _ in range(200)]
+    shared = texts[100].split()
+    texts += [" ".join([*words(9, 82), *shared[40:110], *words(9, 83)])]
+    met, chained = [], passages.chained
+    monkeypatch.setattr(passages, "chained", lambda m, p: met.append(m.select("a", "b").distinct().count()) or chained(m, p))
+    got = passages.fuzzy_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {(x.a, x.b) for x in got.select("a", "b").collect()} == {(100, 200)}
+    assert met[1] < 20, met  # of 20,100 pairs of leads, hundreds with bits in common
+
+
+def test_edits_and_extension_as_defined():
+    r = random.Random(9)
+    for _ in range(300):
+        x, y = (np.array(r.choices(range(3), k=r.randrange(30)), np.int64) for _ in range(2))
+        row = list(range(len(y) + 1))
+        for i, v in enumerate(x, 1):
+            last, row = row, [i]
+            for j, u in enumerate(y, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (v != u)))
+        assert passages._edits(x.tolist(), y.tolist()) == row[-1]
+        best, score, top = (0, 0, 0), 0, 0
+        for i, same in enumerate(x[: len(y)] == y[: len(x)], 1):
+            score += 1 if same else -2
+            top = max(top, score)
+            if top - score > 4:
+                break
+            if score > best[2]:
+                best = (i, int((x[:i] == y[:i]).sum()), score)
+        assert passages._straight(x, y, 2, 4) == best
+
+
 def test_token_splits_use_the_whole_lexicon(spark, tmp_path):
     """More than 50,000 lexicon words, all equally frequent: the last ones count too, and shares are taken over all."""
     lex = ["".join(w) for w in itertools.islice(itertools.product("bcdfghjklmnpqrst", repeat=4), 50_100)]
