@@ -84,6 +84,40 @@ def test_edits_and_extension_as_defined():
         assert passages._straight(x, y, 2, 4) == best
 
 
+def test_full_alignments_are_worked_out_together(monkeypatch):
+    """Many at once give what each gives by itself, whatever their sizes."""
+    r = random.Random(10)
+
+    def best(x, y, cost, floor):
+        table = [[0 if floor else -cost * j for j in range(len(y) + 1)]]
+        for i, v in enumerate(x):
+            row = [0 if floor else table[i][0] - cost]
+            for j, u in enumerate(y):
+                row.append(max(table[i][j + 1] - cost, row[-1] - cost, table[i][j] + (1 if u == v else -cost), *[0] * floor))
+            table.append(row)
+        return min((-s, i, j) for i, row in enumerate(table) for j, s in enumerate(row))
+
+    for cost, floor in itertools.product((1, 2, 4), (False, True)):
+        pairs = [tuple(np.array(r.choices(range(r.choice((2, 9))), k=r.randrange(25)), np.uint32) for _ in range(2)) for _ in range(40)]
+        assert [(-s, i, j) for s, i, j in passages._rows(pairs, cost, floor)] == [best(x.tolist(), y.tolist(), cost, floor) for x, y in pairs]
+
+    # Extension stops at seven other words on either side of the seed, so all need the alignment in full.
+    calls, rows, p, works = [], passages._rows, passages.PassageParams(), []
+    monkeypatch.setattr(passages, "_rows", lambda pairs, *kind: calls.append(len(pairs)) or rows(pairs, *kind))
+    texts = []
+    for k in range(100):
+        x = np.array(r.choices(range(1000), k=300), np.uint32)
+        y = x.copy()
+        y[133:140] += 5000
+        y[146 : 153 + k % 3] += 5000
+        texts.append((x, y, [(140, 140)]))
+    alone = [passages.align(*t, p) for t in texts]
+    assert all(alone)
+    asked, calls[:] = len(calls), []
+    assert list(passages._together(passages._align(*t, p, []) for t in texts)) == alone
+    assert sum(calls) == asked and len(calls) < asked / 4, (asked, calls)
+
+
 def test_token_splits_use_the_whole_lexicon(spark, tmp_path):
     """More than 50,000 lexicon words, all equally frequent: the last ones count too, and shares are taken over all."""
     lex = ["".join(w) for w in itertools.islice(itertools.product("bcdfghjklmnpqrst", repeat=4), 50_100)]
