@@ -15,7 +15,8 @@ what is then still larger by a third.
 Pairs are verified sequentially: signature batches of ``batch`` minima (their
 low bytes) are compared, and a pair is dropped as soon as the posterior
 probability of a similarity of at least the threshold is under ``miss``.
-Survivors are compared on their full sets, so every link is exact.
+Survivors are compared on their full sets, so every link is exact; those of different
+components, of which few are links, on the first bits of their hashes before, which can only add similarity.
 
 A pair at the very threshold stays unbanded with probability
 (1 - 0.8**rows)**bands, 6e-7 with the defaults; it shares fewer than two bands with
@@ -283,8 +284,12 @@ def plausible_within(placed: DataFrame, reps: DataFrame, p: MinHashParams) -> Da
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, p: MinHashParams, broadcast_ids: int = BROADCAST_IDS, tile: int = TILE) -> DataFrame:
-    """Pairs whose full sets are similar enough; each document's set is made once, only if some pair needs it."""
+def confirmed(pairs: DataFrame, docs: DataFrame, p: MinHashParams, broadcast_ids: int = BROADCAST_IDS, tile: int = TILE, short: bool = False) -> DataFrame:
+    """Pairs whose full sets are similar enough; each document's set is made once, only if some pair needs it.
+
+    Short sets hold the first 16 bits of each hash, a quarter of the bytes. Hashes that are equal have equal first bits, so no pair
+    seems less similar by them than it is, and none that is similar enough is lost.
+    """
     ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
     d = doc_texts(docs)
     if ids.count() <= broadcast_ids:  # the others' texts aren't shuffled
@@ -295,6 +300,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, p: MinHashParams, broadcast_ids
     def sets(b: pa.RecordBatch):
         for c in K.chunks(b.column(1)):
             keys, offs = shingle_sets(c)
+            if short:
+                keys = (keys >> np.uint64(48)).astype(np.uint16)  # still in order
             yield pa.RecordBatch.from_arrays([b.column(0).slice(c.first, c.n), pa.array([keys[offs[i] : offs[i + 1]].tobytes() for i in range(c.n)], pa.binary())], names=["doc_id", "set"])
 
     # A pair belongs to the tile of its documents' groups, and a document's set goes to each of its tiles once, however many pairs it has there.
@@ -322,7 +329,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, p: MinHashParams, broadcast_ids
                 if at != (ga, gb):
                     at, held = (ga, gb), {}
                 if y is None:
-                    held.setdefault(x, []).append(np.frombuffer(s, np.uint64))
+                    held.setdefault(x, []).append(np.frombuffer(s, np.uint16 if short else np.uint64))
                 elif any(similar(u, v) for u in held.get(x, ()) for v in held.get(y, ())):
                     keep.append(i)
             if keep:
@@ -360,7 +367,8 @@ def near_duplicates(docs: DataFrame, p: MinHashParams = MinHashParams()) -> Data
     placed = cand.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("band", "rep", "n", F.coalesce("root", "rep").alias("root"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
     placed = written(placed.join(mixed, "band").distinct(), "mixed")
-    second = confirmed(written(plausible_within(placed, reps, p), "plausible"), docs, p)
+    second = written(plausible_within(placed, reps, p), "plausible")
+    second = confirmed(confirmed(second, docs, p, short=True), docs, p)  # few of these pairs are links
     for t in (cand, placed, reps):
         forget(t)
 

@@ -196,6 +196,28 @@ def test_confirmed_in_tiles(spark):
         assert rows(neardup.confirmed(pairs, d, neardup.MinHashParams(), tile=tile), "a", "b") == want
 
 
+def test_confirmed_by_first_bits(spark, monkeypatch):
+    """Short sets lose no link, take a quarter of the bytes, and are looked at first where few pairs are links."""
+    base, p, moved, asked = prose(120, 72).split(), neardup.MinHashParams(), [], []
+    texts = [(k, " ".join(base[: 60 + k] + [f"own{k}x{j}" for j in range(k % 7 * 6)])) for k in range(60)] + [(3, " ".join(base[:70])), (90, " ")]
+    d = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    pairs = spark.createDataFrame([*itertools.combinations(range(60), 2), (1, 90)], "a long, b long")
+    written, confirmed = neardup.written, neardup.confirmed
+
+    def kept(df, name):
+        out = written(df, name)
+        if name == "sets":
+            moved.append(out.selectExpr("sum(length(set))").first()[0])
+        return out
+
+    monkeypatch.setattr(neardup, "written", kept)
+    full, short = (set(rows(confirmed(pairs, d, p, tile=7, short=k), "a", "b")) for k in (False, True))
+    assert full <= short and len(short) < len(full) + 5 and moved[0] == 4 * moved[1]
+    monkeypatch.setattr(neardup, "confirmed", lambda *a, short=False, **k: asked.append(short) or confirmed(*a, short=short, **k))
+    neardup.near_duplicates(d)
+    assert asked == [False, True, False]
+
+
 def test_bayes_bounds():
     need = neardup.needed_matches(neardup.MinHashParams())
     assert need[-1][0] == 180 and all(0 <= m < n for n, m in need) and [m for _, m in need] == sorted(m for _, m in need)
