@@ -121,17 +121,22 @@ class RunIndex:
         key = np.zeros(n, np.int64)
         for j in range(7):
             key = (key << 9) | padded[j : j + n]
-        h, self.levels = 7, []
+        h, self.levels, rank = 7, [], np.empty(n, np.int64)
+        order, spots = np.argsort(key), np.arange(n)
+        part, k = order, key[order]
+        # A suffix that is like no other has its place in the order; only the others' places (spots) are sorted again.
         while True:
-            order = np.argsort(key)
-            k = key[order]
-            new = np.append(True, (k[1:] != k[:-1]) | (left[order[1:]] < h))  # a separator is like no other
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(new) - 1
-            self.levels.append((h, rank))
-            if new.all():
+            new = np.append(True, (k[1:] != k[:-1]) | (left[part[1:]] < h))  # a separator is like no other
+            rank[part] = spots[np.maximum.accumulate(np.where(new, np.arange(len(spots)), 0))]
+            self.levels.append((h, rank.copy()))
+            alike = np.append(~new[1:], False) | ~new
+            spots, part = spots[alike], part[alike]
+            if not len(spots):
                 break
-            key = rank * (n + 1) + np.append(rank[h:], np.zeros(min(h, n), np.int64))[:n]
+            key = rank[part] * (n + 1) + np.where(part + h < n, rank[np.minimum(part + h, n - 1)], 0)
+            by = np.argsort(key)
+            part, k = part[by], key[by]
+            order[spots] = part
             h *= 2
         order = order[left[order] >= length]
         before = np.where(order == self.starts[self.string[order]], -1 - np.arange(len(order)), padded[order - 1])

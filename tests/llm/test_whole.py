@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 
-from lexispark.llm import passages
+from lexispark.llm import passages, repeats
 from lexispark.operators import segment
 
 VOCAB = ["".join(random.Random(k).choice("abdeilmnorstu") for _ in range(6)) + str(k) for k in range(3000)]
@@ -118,6 +118,16 @@ def test_full_alignments_are_worked_out_together(monkeypatch):
     assert sum(calls) == asked and len(calls) < asked / 4, (asked, calls)
 
 
+def test_index_sorts_again_only_suffixes_that_are_alike(monkeypatch):
+    r, sizes, sort = random.Random(11), [], np.argsort
+    strings = [bytes(r.choices(range(97, 123), k=300)) for _ in range(60)]
+    strings.append(strings[5][:40] + b"#" + strings[5][41:290])
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **k: sizes.append(len(x)) or sort(x, *a, **k))
+    got = {(s, at) for s, start, n in zip(*repeats.long_matches(strings, 200)) for at in range(start, start + n)}
+    assert got == {(5, at) for at in range(41, 290)} | {(60, at) for at in range(41, 290)}
+    assert len(sizes) > 4 and sum(sizes) < 1.5 * sizes[0], sizes
+
+
 def test_token_splits_use_the_whole_lexicon(spark, tmp_path):
     """More than 50,000 lexicon words, all equally frequent: the last ones count too, and shares are taken over all."""
     lex = ["".join(w) for w in itertools.islice(itertools.product("bcdfghjklmnpqrst", repeat=4), 50_100)]
