@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..shipping import ship
-from .base import SQL_COUNTS, SQL_LEXICON, SQL_TOKENS, lexicon, query, read, sentences, token_counts, token_rows
+from .base import SQL_COUNTS, SQL_LEXICON, SQL_TOKENS, lexicon, query, read, sentences, token_counts, token_lists, token_rows
+from .chunks import counted, neighbours
 from .counts import trie_edges
 from .segment import PIECE, frequent_stem_split, split_score, splits
 
@@ -184,16 +185,14 @@ def growing_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the spans of one to three tokens that begin at every place, those seen more than once."""
     from .counts import ngram_counts
 
-    return ngram_counts(sentences(read(spark, sf_dir, "documents")), 3).select(F.col("ngram").alias("span"), "cnt").filter("cnt > 1")
+    return ngram_counts(token_lists(read(spark, sf_dir, "documents")), 3, 2).select(F.col("ngram").alias("span"), "cnt")
 
 
 @query("symbol_bigrams", f"with {SQL_TOKENS}, b as (select coalesce(lag(tok) over (partition by doc_id, line order by pos), '<start>') as s1, tok as s2 from tk) select s1, s2, count(*) as cnt from b group by all")
 def symbol_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbol bigrams of tagged sequences, the start symbol in front."""
-    from .counts import pairs_ahead
-
-    s = sentences(read(spark, sf_dir, "documents")).select(F.concat(F.array(F.lit("<start>")), "toks").alias("toks"))
-    return s.select(F.inline(pairs_ahead("toks", 1))).groupBy(F.col("src").alias("s1"), F.col("dst").alias("s2")).agg(F.count("*").alias("cnt"))
+    s = token_lists(read(spark, sf_dir, "documents"))
+    return counted(s, neighbours({1: 0}, 1, "<start>"), [""]).select(F.col("src").alias("s1"), F.col("dst").alias("s2"), "cnt")
 
 
 @query("seeded_sample", "select doc_id, md5(doc_id::varchar || ':17') < '8' as coin, row_number() over (order by md5(doc_id::varchar || ':42'), doc_id) as rank from documents qualify rank <= 100")

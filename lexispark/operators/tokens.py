@@ -138,10 +138,10 @@ _ALTS = "[list_distinct([t[1:greatest(3, length(t) - n)] || '#' || t[greatest(3,
 
 @query("alternative_products", f"with {SQL_SENTENCES}, w as (select doc_id, line, unnest([toks[i:i + 1] for i in range(1, greatest(len(toks) - 1, 1) + 1)]) as win from se), a as (select doc_id, line, {_ALTS} as alts from w) select doc_id, line, count(*) as n_windows, sum(list_product([len(x) for x in alts]))::bigint as n_choices from a group by doc_id, line")
 def alternative_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def cuts(c):
-        at = lambda n: F.greatest(F.lit(3), F.length(c) - n)
-        return F.array_distinct(F.transform(F.array(*map(F.lit, (4, 2, 0))), lambda n: F.concat(F.substring(c, F.lit(1), at(n)), F.lit("#"), F.substring(c, at(n) + 1, F.length(c)))))
-
-    w = sentences(read(spark, sf_dir, "documents")).select("doc_id", "line", F.explode(X.sliding(F.col("toks"), 2)).alias("win"))
-    w = w.select("doc_id", F.col("line").cast("long").alias("line"), X.cartesian(F.transform("win", cuts)).alias("choices"))
-    return w.groupBy("doc_id", "line").agg(F.count("*").alias("n_windows"), F.sum(F.size("choices").cast("long")).alias("n_choices"))
+    """Windows of two tokens and the choices of one cut a token: a token's cuts are as many as their places, so no choice is formed."""
+    s = sentences(read(spark, sf_dir, "documents"))
+    n = F.transform("toks", lambda t: F.size(F.array_distinct(F.transform(F.array(*map(F.lit, (4, 2, 0))), lambda k: F.greatest(F.lit(3), F.length(t) - k)))).cast("long"))
+    w = s.select("doc_id", F.col("line").cast("long").alias("line"), n.alias("n"))
+    pairs = F.zip_with(F.slice("n", F.lit(1), F.size("n") - 1), F.slice("n", F.lit(2), F.size("n") - 1), lambda x, y: x * y)
+    w = w.withColumn("n", F.when(F.size("n") > 1, pairs).otherwise(F.col("n")))
+    return w.groupBy("doc_id", "line").agg(F.sum(F.size("n").cast("long")).alias("n_windows"), F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda acc, x: acc + x)).alias("n_choices"))
