@@ -41,6 +41,7 @@ def same_as_sql(spark, at, name):
 #: Query, and at most so many rows-out-of-a-row steps and shuffles by key in its plan.
 LEAN = [
     ("pruned_targets", 1, 1),
+    ("rank_links", 1, 1),
 ]
 
 
