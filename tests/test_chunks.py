@@ -42,6 +42,7 @@ def same_as_sql(spark, at, name):
 LEAN = [
     ("pruned_targets", 1, 1),
     ("rank_links", 1, 1),
+    ("rank_links_pruned", 1, 1),
 ]
 
 
