@@ -43,6 +43,7 @@ LEAN = [
     ("pruned_targets", 1, 1),
     ("rank_links", 1, 1),
     ("rank_links_pruned", 1, 1),
+    ("model_roundtrip", 1, 1),
 ]
 
 
