@@ -44,6 +44,7 @@ LEAN = [
     ("rank_links", 1, 1),
     ("rank_links_pruned", 1, 1),
     ("model_roundtrip", 1, 1),
+    ("skip_edges", 1, 1),
 ]
 
 
