@@ -45,6 +45,7 @@ LEAN = [
     ("rank_links_pruned", 1, 1),
     ("model_roundtrip", 1, 1),
     ("skip_edges", 1, 1),
+    ("prefix_counts", 5, 4),
 ]
 
 
