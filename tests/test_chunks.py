@@ -46,6 +46,7 @@ LEAN = [
     ("model_roundtrip", 1, 1),
     ("skip_edges", 1, 1),
     ("prefix_counts", 5, 4),
+    ("growing_spans", 1, 1),
 ]
 
 
