@@ -47,6 +47,7 @@ LEAN = [
     ("skip_edges", 1, 1),
     ("prefix_counts", 5, 4),
     ("growing_spans", 1, 1),
+    ("cooccurrence", 2, 1),
 ]
 
 
