@@ -48,6 +48,7 @@ LEAN = [
     ("prefix_counts", 5, 4),
     ("growing_spans", 1, 1),
     ("cooccurrence", 2, 1),
+    ("language_windows", 1, 1),
 ]
 
 
