@@ -49,6 +49,7 @@ LEAN = [
     ("growing_spans", 1, 1),
     ("cooccurrence", 2, 1),
     ("language_windows", 1, 1),
+    ("symbol_bigrams", 1, 1),
 ]
 
 
