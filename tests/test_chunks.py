@@ -50,6 +50,7 @@ LEAN = [
     ("cooccurrence", 2, 1),
     ("language_windows", 1, 1),
     ("symbol_bigrams", 1, 1),
+    ("collocations", 3, 4),
 ]
 
 
