@@ -51,6 +51,7 @@ LEAN = [
     ("language_windows", 1, 1),
     ("symbol_bigrams", 1, 1),
     ("collocations", 3, 4),
+    ("nested_window_grams", 1, 1),
 ]
 
 
