@@ -52,6 +52,7 @@ LEAN = [
     ("symbol_bigrams", 1, 1),
     ("collocations", 3, 4),
     ("nested_window_grams", 1, 1),
+    ("alternative_products", 1, 1),
 ]
 
 
