@@ -53,6 +53,7 @@ LEAN = [
     ("collocations", 3, 4),
     ("nested_window_grams", 1, 1),
     ("alternative_products", 1, 1),
+    ("word_ngram_freq", 1, 1),
 ]
 
 
