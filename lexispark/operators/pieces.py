@@ -1,23 +1,26 @@
 """Counts, windows and vectors over the pieces that tokens are split into.
 
 Splits are the frequent-stem splits of distinct tokens, joined to the lines by
-token. Pieces of a line's tokens stay together in its row, so neighbours are
-generated inside the row and only aggregated counts are shuffled.
+token of a chunk of lines. Neighbours are counted inside the chunk, and only
+packed counts are shuffled.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..shipping import ship
-from .base import SQL_COUNTS, SQL_LEXICON, SQL_TOKENS, lexicon, query, read, sentences, token_counts, token_lists, token_rows
+from . import chunks as C
+from .base import SQL_COUNTS, SQL_LEXICON, SQL_TOKENS, lexicon, query, read, sentences, token_counts, token_lists
 from .chunks import counted, neighbours
-from .counts import trie_edges
 from .segment import PIECE, frequent_stem_split, split_score, splits
 
 _SPLIT = "fs as (select tok, list_filter([stem, tail], x -> x <> '') as ps from (select *, row_number() over (partition by tok order by length(stem) * f desc, n) as k from (select c.*, coalesce(t.cnt, 0) as f from (select tok, n, tok[1:greatest(3, length(tok) - n)] as stem, tok[greatest(3, length(tok) - n) + 1:] as tail from (select tok, unnest([9, 5, 4, 3, 2, 1, 0]) as n from tc)) c left join tc t on t.tok = c.stem)) where k = 1)".replace("x -> x <> ''", "lambda x: x <> ''")
@@ -29,38 +32,85 @@ def token_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequent_stem_split(spark, sf_dir).select("tok", F.filter(F.split("split", "#"), lambda x: x != "").alias("ps"))
 
 
-def piece_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, line, pss: the pieces of every token of a line, in order."""
-    t = token_rows(read(spark, sf_dir, "documents")).join(token_pieces(spark, sf_dir), "tok")
-    got = t.groupBy("doc_id", "line").agg(F.array_sort(F.collect_list(F.struct("pos", "ps"))).alias("all"))
-    return got.select("doc_id", "line", F.transform("all", lambda x: x["ps"]).alias("pss"))
+class PieceLines:
+    """Lines of a chunk (doc_id and line are a key), and the pieces of their tokens, as numbers."""
+
+    def __init__(self, t: pa.Table):
+        of, self.lines = t.filter(pc.is_valid(t.column("tok"))), t.filter(pc.is_valid(t.column("text")))
+        parts = C.whole(of.column("ps"))
+        self.codes, self.sizes = C.line_codes(C.whole(self.lines.column("text")), C.whole(of.column("tok")))
+        d = parts.flatten().dictionary_encode()
+        self.piece, self.pieces = d.indices.to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary
+        self.size = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.start = np.cumsum(self.size) - self.size
+
+
+def over_pieces(spark: SparkSession, sf_dir: str, run, schema: str) -> DataFrame:
+    """run() of every chunk's lines; the splits of a chunk's distinct tokens are joined to it, not to every token."""
+    held = C.chunked(token_lists(read(spark, sf_dir, "documents")))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in C.each_chunk(batches):
+            yield run(PieceLines(t))
+
+    return C.looked_up(held, token_pieces(spark, sf_dir)).mapInArrow(each, schema.replace("ID", dict(held.dtypes)["doc_id"]))
+
+
+PACKED = "src string, tails binary, vals binary"
+ROOTS = 64  # parts of the root, the one parent of all pieces
 
 
 @query("piece_prefix_counts", f"with {_LINES}, w as (select unnest([toks[i:i + 1] for i in range(1, greatest(len(toks) - 1, 1) + 1)]) as win from pf) select array_to_string(win[1:i - 1], ' ') as parent, win[i] as sym, count(*) as cnt from (select win, unnest(range(1, len(win) + 1)) as i from w) group by all")
 def piece_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prefix counts over windows of two pieces."""
-    return trie_edges(piece_lines(spark, sf_dir).select(F.explode(X.sliding(F.flatten("pss"), 2)).alias("path")))
+
+    def run(c: PieceLines) -> pa.RecordBatch:
+        seq = c.piece[C.ranges(c.start[c.codes], c.size[c.codes])]
+        sizes, n = np.add.reduceat(c.size[c.codes], np.cumsum(c.sizes) - c.sizes), len(c.pieces)
+        place = np.arange(len(seq)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        key, got = np.unique(C.pair_keys(seq, sizes, 1, n), return_counts=True)
+        root, first = np.unique(seq[place < np.repeat(np.maximum(sizes - 1, 1), sizes)], return_counts=True)
+        part = np.array([zlib.crc32(x.encode()) % ROOTS for x in c.pieces.take(pa.array(root)).to_pylist()])
+        order = np.argsort(part, kind="stable")
+        roots = C.pack(c.pieces, part[order], root[order], first[order], pa.array([f"\0{k}" for k in range(ROOTS)]))
+        return pa.RecordBatch.from_arrays(C.joined(C.pack(c.pieces, key // n, key % n, got), roots), names=["src", "tails", "vals"])
+
+    got = C.added(over_pieces(spark, sf_dir, run, PACKED), [""])
+    return got.select(F.when(F.col("src").startswith("\0"), "").otherwise(F.col("src")).alias("parent"), F.col("dst").alias("sym"), "cnt")
 
 
 @query("piece_rank_links", f"with {_LINES}, l as (select pss[i] as x, pss[i + d] as y, d from (select pss, i, unnest(range(1, least(3, len(pss) - i) + 1)) as d from (select pss, unnest(range(1, len(pss))) as i from pl))) select src, dst, case when d > 2 then 'neig' else 'loc' end as bucket, count(*) as cnt from (select src, unnest(y) as dst, d from (select unnest(x) as src, y, d from l)) group by all")
 def piece_rank_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links from every piece of a token to every piece of the next three."""
-    n = F.size("pss")
 
-    def at(d: int):
-        left = F.greatest(n - d, F.lit(0))
-        return F.flatten(F.zip_with(F.slice("pss", F.lit(1), left), F.slice("pss", F.lit(1 + d), left), lambda x, y: F.flatten(F.transform(x, lambda a: F.transform(y, lambda b: F.struct(a.alias("src"), b.alias("dst"), F.lit(d).alias("d")))))))
+    def run(c: PieceLines) -> pa.RecordBatch:
+        n, m, keys, counts = len(c.size), len(c.pieces), [], []
+        for kind, near in enumerate(((1, 2), (3,))):
+            two, got = np.unique(np.concatenate([C.pair_keys(c.codes, c.sizes, d, n) for d in near]), return_counts=True)
+            x, y = two // n, two % n
+            each = c.size[x] * c.size[y]
+            i, pair = C.ranges(np.zeros(len(each), np.int64), each), np.repeat(np.arange(len(each)), each)
+            a, b = c.piece[c.start[x][pair] + i // c.size[y][pair]], c.piece[c.start[y][pair] + i % c.size[y][pair]]
+            keys.append((a * m + b) * 2 + kind)
+            counts.append(got[pair])
+        key, got = C.summed(np.concatenate(keys), np.concatenate(counts))
+        return pa.RecordBatch.from_arrays(C.pack(c.pieces, key // 2 // m, key // 2 % m, got * 2 + key % 2), names=["src", "tails", "vals"])
 
-    p = piece_lines(spark, sf_dir).select(F.inline(F.concat(*(at(d) for d in (1, 2, 3)))))
-    return p.groupBy("src", "dst", X.distance_bucket(F.col("d")).alias("bucket")).agg(F.count("*").alias("cnt"))
+    return C.added(over_pieces(spark, sf_dir, run, PACKED), ["loc", "neig"]).withColumnRenamed("kind", "bucket")
 
 
 @query("stem_windows", f"with {_LINES}, w as (select doc_id, line, generate_subscripts(pss, 1) as i, unnest(pss) as ps from pl) select doc_id, line, count(*) as n_windows, md5(string_agg(x, '|' order by win)) as windows from (select doc_id, line, (i - 1) // 5 as win, string_agg(array_to_string(ps, '#'), ' ' order by i) as x from w group by all) group by doc_id, line")
 def stem_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequent-stem splits in non-overlapping windows of five tokens."""
-    each = F.transform("pss", lambda x: F.array_join(x, "#"))
-    wins = F.transform(F.sequence(F.lit(0), F.floor((F.size("pss") - 1) / 5).cast("int")), lambda k: F.array_join(F.slice(each, k * 5 + 1, 5), " "))
-    return piece_lines(spark, sf_dir).select("doc_id", F.col("line").cast("long").alias("line"), F.size(wins).cast("long").alias("n_windows"), F.md5(F.array_join(wins, "|")).alias("windows"))
+
+    def run(c: PieceLines) -> pa.RecordBatch:
+        splits = C.rendered(pc.binary_join_element_wise(c.pieces.take(pa.array(c.piece)), "", "#"), c.size)
+        either = pa.concat_arrays([pc.binary_join_element_wise(splits, "", x) for x in (" ", "|")])
+        place = np.arange(len(c.codes)) - np.repeat(np.cumsum(c.sizes) - c.sizes, c.sizes)
+        text = C.rendered(either.take(pa.array(c.codes + len(splits) * (place % 5 == 4))), c.sizes)
+        return pa.RecordBatch.from_arrays([C.whole(c.lines.column("doc_id")), C.whole(c.lines.column("line")).cast(pa.int64()), pa.array((c.sizes - 1) // 5 + 1), text], names=["doc_id", "line", "n_windows", "windows"])
+
+    return over_pieces(spark, sf_dir, run, "doc_id ID, line long, n_windows long, windows string").withColumn("windows", F.md5("windows"))
 
 
 @query("known_pieces", f"with {SQL_LEXICON}, {_SPLIT}, p as (select tok, list_distinct(list_filter(ps, lambda x: length(x) >= 3)) as ps from fs), u as (select tok, unnest(ps) as p from p), k as (select tok, count(*) as n_known from u join lx on word = p group by tok) select tok, array_to_string(list_sort(ps), ' ') as pieces, coalesce(n_known, 0) as n_known, coalesce(n_known, 0) > 0 as any_known from p left join k using (tok)")
@@ -106,15 +156,39 @@ def token_vectors_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("phrase_vectors", f"with {SQL_TOKENS}, {SQL_LEXICON}, {_SPLIT}, {_FORWARD}, n as (select doc_id, line, count(*) as n from tk group by all), s as (select doc_id, line, i, sum(c * length(tok) * v[i]) as x from (select doc_id, line, tok, c, v, unnest(range(1, len(v) + 1)) as i from (select doc_id, line, tok, count(*) as c from tk group by all) join fv using (tok)) group by all), g as (select doc_id, line, list(x order by i) as x from s group by all) select doc_id, line, n as n_tokens, round(coalesce(g.x[1], 0.0) / n, 5) as first, round(coalesce(sqrt(list_dot_product(g.x, g.x)), 0.0) / n, 4) as norm from n left join g using (doc_id, line)")
 def phrase_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean over a line's tokens of their vectors, each weighted by its token's length."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-
-    t = token_rows(read(spark, sf_dir, "documents")).groupBy("doc_id", "line", "tok").agg(F.count("*").alias("c"))
-    n = t.groupBy("doc_id", "line").agg(F.sum("c").alias("n_tokens"))
-    known = t.join(token_vectors(spark, sf_dir), "tok").select("doc_id", "line", array_to_vector(F.transform("v", lambda x: x * F.length("tok") * F.col("c"))).alias("x"))
-    g = known.groupBy("doc_id", "line").agg(Summarizer.sum(F.col("x")).alias("x")).withColumn("x", vector_to_array("x"))
-    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda acc, x: acc + x * x))
-    return n.join(g, ["doc_id", "line"], "left").select("doc_id", F.col("line").cast("long").alias("line"), "n_tokens", F.round(F.coalesce(F.col("x")[0], F.lit(0.0)) / F.col("n_tokens"), 5).alias("first"), F.round(F.coalesce(norm, F.lit(0.0)) / F.col("n_tokens"), 4).alias("norm"))
+    docs = read(spark, sf_dir, "documents")
+    held, words = C.chunked(token_lists(docs)), dictionary(spark, sf_dir)
+    known = token_pieces(spark, sf_dir).select("tok", F.explode(F.array_distinct(F.filter("ps", lambda x: F.length(x) >= 3))).alias("word")).join(words.select("word").distinct(), "word").groupBy("tok").agg(F.collect_list("word").alias("words"))
+    void = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    kind = dict(held.dtypes)["doc_id"]
+    mine = held.filter("tok is not null").select("chunk", "tok").join(known, "tok").select("chunk", void("doc_id", kind), void("line", "int"), void("text", "string"), "tok", "words", void("v", "array<double>"))
+    vecs = mine.select("chunk", F.explode("words").alias("tok")).distinct().join(words.withColumnRenamed("word", "tok"), "tok").select("chunk", void("doc_id", kind), void("line", "int"), void("text", "string"), "tok", void("words", "array<string>"), "v")
+    lines = held.filter("text is not null").select("*", void("words", "array<string>"), void("v", "array<double>"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in C.each_chunk(batches):
+            of, vec, at = (t.filter(pc.is_valid(t.column(c))) for c in ("words", "v", "text"))
+            if not at.num_rows:
+                continue
+            codes, sizes = C.line_codes(C.whole(at.column("text")), C.whole(of.column("tok")))
+            v = np.array(C.whole(vec.column("v")).to_pylist(), float).reshape(vec.num_rows, -1)
+            names = C.whole(vec.column("tok")).dictionary_encode()
+            total, n = np.zeros((len(names.dictionary), v.shape[1])), np.bincount(names.indices.to_numpy(zero_copy_only=False), minlength=len(names.dictionary))
+            np.add.at(total, names.indices.to_numpy(zero_copy_only=False), v)
+            parts = C.whole(of.column("words"))
+            word, tok = pc.index_in(parts.flatten(), value_set=names.dictionary).to_numpy(zero_copy_only=False), np.repeat(np.arange(of.num_rows), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+            mean = np.zeros((of.num_rows + 1, v.shape[1]))  # the last for tokens of no known piece
+            np.add.at(mean, tok, total[word])
+            mean[:-1] *= (pc.utf8_length(C.whole(of.column("tok"))).to_numpy(zero_copy_only=False) / np.bincount(tok, n[word], of.num_rows))[:, None]
+            first, norm, ends, i = np.zeros(len(sizes)), np.zeros(len(sizes)), np.cumsum(sizes), 0
+            while i < len(sizes) and v.shape[1]:  # lines of about 65,536 tokens at a time
+                j = max(int(np.searchsorted(ends, ends[i] - sizes[i] + (1 << 16))), i + 1)
+                x = np.add.reduceat(mean[codes[ends[i] - sizes[i] : ends[j - 1]]], ends[i:j] - sizes[i:j] - (ends[i] - sizes[i]))
+                first[i:j], norm[i:j], i = x[:, 0], np.sqrt((x * x).sum(1)), j
+            yield pa.RecordBatch.from_arrays([C.whole(at.column("doc_id")), C.whole(at.column("line")).cast(pa.int64()), pa.array(sizes), pa.array(first), pa.array(norm)], names=["doc_id", "line", "n_tokens", "first", "norm"])
+
+    got = C.together(held, lines.union(mine).union(vecs)).mapInArrow(run, f"doc_id {kind}, line long, n_tokens long, first double, norm double")
+    return got.select("doc_id", "line", "n_tokens", F.round(F.col("first") / F.col("n_tokens"), 5).alias("first"), F.round(F.col("norm") / F.col("n_tokens"), 4).alias("norm"))
 
 
 def variants(token: str, lex: dict[str, float], sample: int = 2, top: int = 5) -> dict[str, str]:

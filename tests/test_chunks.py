@@ -90,3 +90,9 @@ def test_rounded_as_spark(spark):
     rows = [(a, b) for a, b in itertools.product((1, 3, 5, 7, 999), (2, 3, 7, 1024, 2048, 5120, 64000, 16000000, 2000000000))]
     d = spark.createDataFrame(rows, "a long, b long").select("a", "b", F.round(F.col("a") / F.col("b"), 9).alias("r")).collect()
     assert chunks.rounded(np.array([x.a for x in d]), np.array([x.b for x in d])).tolist() == [x.r for x in d]
+
+
+def test_vectors_meet_chunks(spark, lines):
+    """No token of a line is shuffled by its line with a vector of its own."""
+    plan = same_as_sql(spark, lines, "phrase_vectors")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" not in plan
