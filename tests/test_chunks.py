@@ -54,6 +54,7 @@ LEAN = [
     ("nested_window_grams", 1, 1),
     ("alternative_products", 1, 1),
     ("word_ngram_freq", 1, 1),
+    ("piece_prefix_counts", 3, 4),
 ]
 
 
