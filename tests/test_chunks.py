@@ -55,6 +55,7 @@ LEAN = [
     ("alternative_products", 1, 1),
     ("word_ngram_freq", 1, 1),
     ("piece_prefix_counts", 3, 4),
+    ("stem_windows", 3, 3),
 ]
 
 
