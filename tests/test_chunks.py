@@ -56,6 +56,7 @@ LEAN = [
     ("word_ngram_freq", 1, 1),
     ("piece_prefix_counts", 3, 4),
     ("stem_windows", 3, 3),
+    ("piece_rank_links", 3, 4),
 ]
 
 
