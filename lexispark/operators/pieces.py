@@ -236,22 +236,16 @@ def split_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("collocate", f"with {SQL_TOKENS}, cj as (select w1, w2, count(*) as joint from (select tok as w1, lead(tok) over (partition by doc_id, line order by pos) as w2 from tk) where w2 is not null group by all), cs as (select tok as w, count(*) as f from tk group by tok), ok as (select w1, w2 from cj join cs a on a.w = w1 join cs b on b.w = w2 where round(2 * joint / (a.f * b.f)::double, 9) > 0.5), m as (select doc_id, line, pos, tok, lag(tok) over (partition by doc_id, line order by pos) as prev from tk), g as (select doc_id, line, pos, tok, sum((w1 is null)::int) over (partition by doc_id, line order by pos) as g from m left join ok on w1 = prev and w2 = tok), s as (select doc_id, line, g, count(*) as k, string_agg(tok, '_' order by pos) as span from g group by all) select doc_id, line, count(*) as n_spans, count(*) filter (k > 1) as n_joined, md5(string_agg(span, ' ' order by g)) as spans from s group by doc_id, line")
 def collocate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line with neighbours joined whose collocation score is over 0.5; what is joined is one span."""
-    from .counts import collocations, pairs_ahead
+    from .counts import close_pairs
 
     s = sentences(read(spark, sf_dir, "documents"))
-    ok = collocations(s).filter(F.col("score") > 0.5).select("w1", "w2")
-    pairs = s.select("doc_id", "line", F.inline(pairs_ahead("toks", 1))).select("doc_id", "line", F.col("src").alias("w1"), F.col("dst").alias("w2")).distinct()
-    mine = pairs.join(ok, ["w1", "w2"]).groupBy("doc_id", "line").agg(F.collect_set(F.concat_ws(" ", "w1", "w2")).alias("ok"))
-    start = F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.lit("").alias("prev"))
-
-    def step(acc, t):
-        join = F.array_contains("ok", F.concat_ws(" ", acc["prev"], t))
-        n = F.size(acc["out"])
-        return F.struct(F.when(join, F.concat(F.slice(acc["out"], F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(F.concat(F.try_element_at(acc["out"], F.lit(-1)), F.lit("_"), t)))).otherwise(F.concat(acc["out"], F.array(t))).alias("out"), t.alias("prev"))
-
-    joined = s.join(mine, ["doc_id", "line"], "left").withColumn("ok", F.coalesce("ok", F.expr("cast(array() as array<string>)")))
-    spans = joined.select("doc_id", F.col("line").cast("long").alias("line"), F.aggregate("toks", start, step)["out"].alias("spans"))
-    return spans.select("doc_id", "line", F.size("spans").cast("long").alias("n_spans"), F.size(F.filter("spans", lambda x: F.contains(x, F.lit("_")))).cast("long").alias("n_joined"), F.md5(F.array_join("spans", " ")).alias("spans"))
+    mine = close_pairs(s).groupBy("doc_id", "line").agg(F.collect_set(F.concat_ws(" ", "w1", "w2")).alias("ok"))
+    marks = F.zip_with(F.slice("toks", F.lit(1), F.size("toks") - 1), F.slice("toks", F.lit(2), F.size("toks") - 1), lambda x, y: F.array_contains("ok", F.concat_ws(" ", x, y)))
+    joined = s.join(mine, s["doc_id"].eqNullSafe(mine["doc_id"]) & (s["line"] == mine["line"]), "left").select(s["doc_id"], s["line"], "toks", "ok").withColumn("marks", F.when(F.col("ok").isNotNull(), marks).otherwise(F.expr("cast(array() as array<boolean>)")))
+    n = F.size(F.filter("marks", lambda x: x))
+    ends = F.size(F.filter(F.transform("marks", lambda x, i: x & ~((i > 0) & F.element_at("marks", F.greatest(i, F.lit(1))))), lambda x: x))  # each run of marks once
+    text = F.array_join(F.transform("toks", lambda t, i: F.concat(F.when(i == 0, "").when(F.coalesce(F.get("marks", i - 1), F.lit(False)), "_").otherwise(" "), t)), "")
+    return joined.select("doc_id", F.col("line").cast("long").alias("line"), (F.size("toks") - n).cast("long").alias("n_spans"), ends.cast("long").alias("n_joined"), F.md5(F.when(F.col("ok").isNull(), F.array_join("toks", " ")).otherwise(text)).alias("spans"))
 
 
 @query("growing_spans", f"with {SQL_TOKENS}, m as (select tok, lead(tok) over w as b, lead(tok, 2) over w as c from tk window w as (partition by doc_id, line order by pos)) select span, count(*) as cnt from (select tok as span from m union all select tok || ' ' || b from m union all select tok || ' ' || b || ' ' || c from m) where span is not null group by span having count(*) > 1")

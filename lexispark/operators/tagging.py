@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -22,6 +23,9 @@ RULES: list[tuple[str, str]] = [
 ]
 
 
+SPANS = 1 << 16  # spans that a batch holds
+
+
 def tag_spans(texts: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     """id, start, end, label, value of every match of every rule in (id, text)."""
     ship(texts.sparkSession)
@@ -29,9 +33,9 @@ def tag_spans(texts: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = [(label, re.compile(p)) for label, p in rules]
         for b in batches:
-            rows = [(i, m.start(), m.end(), label, m[0]) for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for label, p in compiled for m in p.finditer(text or "")]
-            cols = list(zip(*rows)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()))], names=["id", "start", "end", "label", "value"])
+            rows = ((i, m.start(), m.end(), label, m[0]) for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for label, p in compiled for m in p.finditer(text or ""))
+            while held := list(itertools.islice(rows, SPANS)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()))], names=["id", "start", "end", "label", "value"])
 
     return texts.mapInArrow(run, "id long, start int, end int, label string, value string")
 
@@ -59,9 +63,26 @@ def group_spans(spans: DataFrame) -> DataFrame:
 
 @query("rule_tags")
 def rule_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consumed spans of every document by label. Offsets need a regular-expression engine; tests compare with brute force."""
-    spans = consume(tag_spans(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")))
-    return spans.groupBy(F.col("id").alias("doc_id"), "label").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("n_chars"))
+    """Consumed spans of every document by label. Offsets need a regular-expression engine; a test compares with consume()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = [(label, re.compile(p)) for label, p in RULES]
+        for b in batches:
+            for k in range(0, b.num_rows, 256):  # only a document's spans are held, and the counts of 256
+                rows = []
+                for i, text in zip(b.column(0)[k : k + 256].to_pylist(), b.column(1)[k : k + 256].to_pylist()):
+                    found, far = {}, -1
+                    for start, end, label in sorted(((m.start(), -m.end(), label) for label, p in compiled for m in p.finditer(text or ""))):
+                        if -end > far:
+                            n, chars = found.get(label, (0, 0))
+                            found[label], far = (n + 1, chars - end - start), -end
+                    rows += [(i, label, n, chars) for label, (n, chars) in found.items()]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (b.column(0).type, pa.string(), pa.int64(), pa.int64()))], names=["doc_id", "label", "n", "n_chars"])
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    counts = docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, label string, n long, n_chars long")
+    return counts.groupBy("doc_id", "label").agg(F.sum("n").alias("n"), F.sum("n_chars").alias("n_chars"))
 
 
 _MARK = r"regexp_replace(text, '([.:!?]+[\")\]]?)[\x09-\x0D\x20]+', '\1' || chr(1), 'g')"

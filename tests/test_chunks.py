@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from lexispark.operators import chunks
+from lexispark.operators import chunks, tagging
 
 
 @pytest.fixture(scope="module")
@@ -99,3 +99,15 @@ def test_vectors_meet_chunks(spark, lines):
     """No token of a line is shuffled by its line with a vector of its own."""
     plan = same_as_sql(spark, lines, "phrase_vectors")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(doc_id" not in plan
+
+
+def test_rule_tags_hold_a_document(spark, lines, monkeypatch):
+    """Counts of consumed spans, none of which is a row: only counts are shuffled."""
+    monkeypatch.setattr(tagging, "SPANS", 3)
+    texts = spark.createDataFrame([(1, "On 01.02.2024 at 11:52, 5$ or 1,234.50€! A.B. NATO 3'üncü"), (2, None), (3, ""), (4, "x" * 9 + "... 12:30 p.m. & 7_8")], "doc_id long, text string")
+    both = spark.read.parquet(f"{lines}/documents.parquet").select("doc_id", "text").filter("doc_id > 4").union(texts)
+    both.write.mode("overwrite").parquet(f"{lines}/tags/documents.parquet")
+    got = tagging.rule_tags(spark, f"{lines}/tags")
+    want = tagging.consume(tagging.tag_spans(both)).groupBy("id", "label").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("c"))
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect())) and got.count() > 5
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
