@@ -57,6 +57,7 @@ LEAN = [
     ("piece_prefix_counts", 3, 4),
     ("stem_windows", 3, 3),
     ("piece_rank_links", 3, 4),
+    ("collocate", 6, 5),
 ]
 
 
