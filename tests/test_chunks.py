@@ -58,6 +58,7 @@ LEAN = [
     ("stem_windows", 3, 3),
     ("piece_rank_links", 3, 4),
     ("collocate", 6, 5),
+    ("collocation_merges", 6, 6),
 ]
 
 
