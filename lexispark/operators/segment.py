@@ -1,7 +1,7 @@
 """Splitting words into pieces, and the score of a combination of splits.
 
-Segmentation is a function of the token, so it runs on distinct tokens, each with
-the lexicon pieces that stand in it, joined by equality.
+Segmentation is a function of the token, so it runs on distinct tokens, in chunks
+that share the lexicon pieces that stand in them, joined by equality.
 """
 
 from __future__ import annotations
@@ -10,11 +10,14 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..shipping import ship
+from ..sources.models import load, save
+from . import chunks as C
 from .base import SQL_COUNTS, SQL_LEXICON, lexicon, query, read, token_counts
 
 PIECE = 7
@@ -68,18 +71,44 @@ def token_splits(tokens: DataFrame, words: DataFrame, top: int = 3) -> DataFrame
     """tok, rank, split, n_pieces, score, greedy of distinct tokens under a lexicon (word, cnt) of any size."""
     ship(tokens.sparkSession)
     total = words.agg(F.sum("cnt")).first()[0] or 1
-    n = F.length("tok")
-    parts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(PIECE), n - i + 1)), lambda k: F.substring("tok", i, k))))
-    known = tokens.select("tok", F.explode(F.array_distinct(parts)).alias("word")).join(words, "word").groupBy("tok").agg(F.collect_list("word").alias("words"), F.collect_list("cnt").alias("cnts"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lexes = [{w: c / total for w, c in zip(ws or (), cs or ())} for ws, cs in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            rows = [(t, k, "#".join(p), len(p), round(s, 9), "#".join(longest_match(t, lex))) for t, lex in zip(b.column(0).to_pylist(), lexes) for k, (p, s) in enumerate(best_splits(t, lex, top), 1)]
-            cols = list(zip(*rows)) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.string()))], names=["tok", "rank", "split", "n_pieces", "score", "greedy"])
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    return tokens.select("tok").join(known, "tok", "left").mapInArrow(run, "tok string, rank long, split string, n_pieces long, score double, greedy string")
+        for k, t in enumerate(_tables(batches)):
+            at, toks = (TaskContext.get().partitionId() << 24) + k, C.whole(t.column(0))
+            parts = sorted({x[i:j] for x in toks.to_pylist() if x for i in range(len(x)) for j in range(i + 1, min(i + PIECE, len(x)) + 1)})
+            for tok, word in ((toks, None), (None, pa.array(parts, pa.string()))):
+                n = len(word if tok is None else tok)
+                yield pa.RecordBatch.from_arrays([pa.array([at] * n, pa.int64()), pa.nulls(n, pa.string()) if tok is None else tok, pa.nulls(n, pa.string()) if word is None else word], names=["chunk", "tok", "word"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in C.each_chunk(batches):
+            mine = pc.is_valid(chunk.column("word"))
+            known, toks = chunk.filter(mine), chunk.filter(pc.invert(mine)).column("tok")
+            lex = {w: c / total for w, c in zip(known.column("word").to_pylist(), known.column("cnt").to_pylist())}
+            for i in range(0, len(toks), 4096):
+                rows = [(t, k, "#".join(p), len(p), round(s, 9), greedy) for t in toks[i : i + 4096].to_pylist() for greedy in ["#".join(longest_match(t, lex))] for k, (p, s) in enumerate(best_splits(t, lex, top), 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.string()))], names=["tok", "rank", "split", "n_pieces", "score", "greedy"])
+
+    held = load(save(tokens.select("tok").mapInArrow(ask, "chunk long, tok string, word string"), "tokens"))
+    known = held.filter("word is not null").select("chunk", "word").join(words.select("word", "cnt"), "word").select("chunk", F.lit(None).cast("string").alias("tok"), "word", "cnt")
+    own = held.filter("word is null").select("*", F.lit(None).cast("long").alias("cnt"))
+    return C.together(held, own.union(known)).mapInArrow(run, "tok string, rank long, split string, n_pieces long, score double, greedy string")
+
+
+TOKENS = 1 << 15  # tokens that share what they know of the lexicon
+
+
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= TOKENS:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 @query("lexicon", f"with {SQL_LEXICON} select word, cnt, round(cnt / sum(cnt) over (), 9) as share from lx")

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from lexispark.operators import chunks, tagging
+from lexispark.operators import base, chunks, segment, tagging
 
 
 @pytest.fixture(scope="module")
@@ -63,8 +63,7 @@ LEAN = [
 
 
 @pytest.mark.parametrize("name, generates, shuffles", LEAN)
-def test_lean(spark, lines, monkeypatch, name, generates, shuffles):
-    monkeypatch.setattr(chunks, "ROW", 3)
+def test_lean(spark, lines, name, generates, shuffles):
     plan = same_as_sql(spark, lines, name)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Generate ") <= generates and plan.count("Exchange hashpartitioning") <= shuffles, plan
 
@@ -113,3 +112,15 @@ def test_rule_tags_hold_a_document(spark, lines, monkeypatch):
     want = tagging.consume(tagging.tag_spans(both)).groupBy("id", "label").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("c"))
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect())) and got.count() > 5
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_token_splits_by_chunks(spark, lines):
+    """Splits as of the whole lexicon; no token meets its substrings as rows of its own."""
+    docs = spark.read.parquet(f"{lines}/documents.parquet")
+    tokens, words = base.token_counts(docs), base.lexicon(docs)
+    lex = {x.word: x.cnt for x in words.collect()}
+    lex = {w: n / sum(lex.values()) for w, n in lex.items()}
+    d = segment.token_splits(tokens.repartition(3), words)
+    got = Counter((x.tok, x.rank, x.split, x.score, x.greedy) for x in d.collect())
+    assert lex and got == Counter((x.tok, k, "#".join(p), round(s, 9), "#".join(segment.longest_match(x.tok, lex))) for x in tokens.collect() for k, (p, s) in enumerate(segment.best_splits(x.tok, lex), 1))
+    assert "substring" not in d._jdf.queryExecution().executedPlan().toString()
