@@ -59,6 +59,7 @@ LEAN = [
     ("piece_rank_links", 3, 4),
     ("collocate", 6, 5),
     ("collocation_merges", 6, 6),
+    ("vocab_ids", 0, 3),
 ]
 
 
