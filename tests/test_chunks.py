@@ -60,6 +60,7 @@ LEAN = [
     ("collocate", 6, 5),
     ("collocation_merges", 6, 6),
     ("vocab_ids", 0, 3),
+    ("path_likelihood", 0, 3),
 ]
 
 
